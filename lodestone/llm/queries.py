@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, exact_dedup, packing, pii, quality, token_counts, top_k
+from lodestone.llm import byte_bpe, exact_dedup, jaccard_join, packing, pii, quality, substring_dedup, token_counts, top_k
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), JSON)
 
@@ -45,6 +49,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
     return found.select("doc_id", "text", *(F.col(f"n_{k}") for k in pii.KINDS))
@@ -52,12 +60,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_top_k": op5_top_k,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_pii": op10_pii,
     }
 
