@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, packing, pii, quality
+from lodestone.llm import exact_dedup, jaccard_join, packing, pii, quality
 from lodestone.llm.common import written
 from lodestone.llm.queries import JSON, PII_KEY, table
 
@@ -25,6 +25,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links join, the one with the smallest id stays; those that have no id all stay."""
+    return jaccard_join.keep_one(docs)
+
+
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses give way to pseudonyms; n_chars follows the text."""
     return pii.pseudonyms(docs, PII_KEY).select(*docs.columns)
@@ -35,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.sequences(docs, JSON, public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality_filter), ("exact_dedup", drop_copies), ("pii", pseudonyms), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality_filter), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("pii", pseudonyms), ("packing", pack)]
 
 #: The classifier, the pseudonyms and the tokenizer have no SQL form.
 ORACLE_SQL: str | None = None
