@@ -248,8 +248,9 @@ def oracle_sql() -> dict[str, str]:
         "ranking_cache": "WITH u AS (SELECT event_type, user_id, min(ts) AS first_used FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY first_used DESC, user_id) AS n FROM u) SELECT event_type, user_id, first_used FROM r WHERE n <= 8",
         "snapshot_diff": f"WITH {_OLDNEW} SELECT snapshot_id, unchanged, differing FROM diff",
         "snapshot_versions": f"WITH {_OLDNEW} SELECT snapshot_id, CASE WHEN unchanged THEN 1 ELSE 2 END AS version FROM diff",
-        "debounced_queries": f"WITH {_bursts('', chr(39) + '1 hour' + chr(39))}, r AS (SELECT user_id, burst, arg_max(event_type, ts) AS query, max(ts) AS "at", count(*) AS keystrokes FROM marked GROUP BY ALL) SELECT user_id, query, "at", keystrokes FROM r WHERE trim(query) <> ''",
-        "mutation_batches": f"WITH {_bursts('WHERE event_type <> ' + chr(39) + 'view' + chr(39), chr(39) + '6 hours' + chr(39))} SELECT user_id, min(ts) AS began, count(*) AS changes FROM marked GROUP BY user_id, burst",
+        "debounced_queries": f"""WITH {_bursts("", "'1 hour'")}, r AS (SELECT user_id, burst, arg_max(event_type, ts) AS query, max(ts) AS "at", count(*) AS keystrokes FROM marked GROUP BY ALL)
+            SELECT user_id, query, "at", keystrokes FROM r WHERE trim(query) <> ''""",
+        "mutation_batches": f"""WITH {_bursts("WHERE event_type <> 'view'", "'6 hours'")} SELECT user_id, min(ts) AS began, count(*) AS changes FROM marked GROUP BY user_id, burst""",
         "latest_generation": "WITH r AS (SELECT user_id, max(event_id) AS generation, arg_max(event_type, event_id) AS query FROM events GROUP BY user_id) SELECT * FROM r WHERE query <> 'click'",
         "conflated_requests": "SELECT user_id, date_trunc('day', ts) AS slot, max(event_id) AS generation FROM events GROUP BY ALL",
         "session_routes": """WITH f AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS c, min(turn) FILTER (role = 'assistant') AS p FROM conversations GROUP BY conv_id), g AS (SELECT conv_id, greatest(c, p) AS paired_at FROM f WHERE c IS NOT NULL AND p IS NOT NULL)
