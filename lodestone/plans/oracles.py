@@ -225,11 +225,11 @@ def oracle_sql() -> dict[str, str]:
         "mean_pool": f"WITH {_LABELS}, a AS (SELECT query_id, q_no, label, avg(score) AS s FROM lw GROUP BY ALL) SELECT query_id, label, round(avg(s), 7) AS score FROM a GROUP BY ALL",
         "argmax_window": f"""WITH {_LABELS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, q_no, w_no) AS k FROM lw) SELECT query_id, label, CAST(w_no AS INTEGER) AS "start", CAST(w_no + 1 AS INTEGER) AS "end" FROM r WHERE k = 1""",
         "relevance_flags": f"WITH {_SCORED} SELECT query_id, passage_id, round(100 * greatest(0, least(1, score)), 4) AS percent, 100 * greatest(0, least(1, score)) >= 30 AS relevant FROM sc",
-        "evidence_ranking": f"WITH {_RANKED} SELECT query_id, snapshot_id, passage_id, round(ev, 6) AS evidence_score, round(sb, 6) AS section_boost, round(pb, 6) AS paragraph_boost, tier, round(value, 6) AS value, exact AS exact_match, reason, CAST(row_number() OVER (PARTITION BY query_id, snapshot_id ORDER BY tier, value DESC, ord) AS INTEGER) AS rank FROM ranked",
-        "adaptive_paragraphs": f"WITH {_ADAPTIVE} SELECT query_id, snapshot_id, passage_id, is_paragraph, round(own, 6) AS score, round(ev, 6) AS evidence_score, tier, round(value, 6) AS value, focus_id FROM adaptive",
-        "question_cutoff": f"WITH {_QUESTION} SELECT query_id, snapshot_id, passage_id, is_paragraph, round(qs, 6) AS question_score, round(value, 6) AS value FROM rows1",
-        "hybrid_final": f"WITH {_RESULTS} SELECT query_id, snapshot_id, passage_id, is_paragraph, tier, round(value, 6) AS value, rank FROM results",
-        "hybrid_question": f"WITH {_QRESULTS} SELECT query_id, snapshot_id, passage_id, is_paragraph, round(value, 6) AS value, rank FROM results",
+        "evidence_ranking": f"WITH {_RANKED} SELECT query_id, snapshot_id, passage_id, round(ev, 6) AS evidence_score, round(sb, 6) AS section_boost, round(pb, 6) AS paragraph_boost, tier, round(value, 9) AS value, exact AS exact_match, reason, CAST(row_number() OVER (PARTITION BY query_id, snapshot_id ORDER BY tier, value DESC, ord) AS INTEGER) AS rank FROM ranked",
+        "adaptive_paragraphs": f"WITH {_ADAPTIVE} SELECT query_id, snapshot_id, passage_id, is_paragraph, round(own, 6) AS score, round(ev, 6) AS evidence_score, tier, round(value, 9) AS value, focus_id FROM adaptive",
+        "question_cutoff": f"WITH {_QUESTION} SELECT query_id, snapshot_id, passage_id, is_paragraph, round(qs, 9) AS question_score, round(value, 9) AS value FROM rows1",
+        "hybrid_final": f"WITH {_RESULTS} SELECT query_id, snapshot_id, passage_id, is_paragraph, tier, round(value, 9) AS value, rank FROM results",
+        "hybrid_question": f"WITH {_QRESULTS} SELECT query_id, snapshot_id, passage_id, is_paragraph, round(value, 9) AS value, rank FROM results",
         "result_positions": f"WITH {_RESULTS}, k AS (SELECT query_id, snapshot_id, rank, count(*) OVER (PARTITION BY query_id, snapshot_id) AS of FROM results) SELECT query_id, snapshot_id, rank, of, (rank - 2 + of) % of + 1 AS previous, rank % of + 1 AS next FROM k",
         "result_page": f"WITH {_COS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM cosines) SELECT query_id, vec_id, rank FROM r WHERE rank > 40 AND rank <= 80",
         "rerank_filter": f"WITH {_RESCORED}, k AS (SELECT *, greatest(4, max(rerank_score) OVER (PARTITION BY query_id, snapshot_id) - 2) AS cutoff FROM rescored WHERE rerank_score IS NOT NULL) SELECT query_id, snapshot_id, passage_id, rerank_score FROM k WHERE rerank_score >= cutoff",

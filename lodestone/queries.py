@@ -159,8 +159,9 @@ def _turn_pairs(spark, sf_dir) -> DataFrame:
 @query
 def pair_windows_count(spark, sf_dir):
     chars = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.lit(1))
-    made = windows.pair_windows(chars("query"), chars("body"), F.array(F.lit(5), F.lit(6)), 256)
-    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.size(made).alias("pairs"), F.aggregate(made, F.lit(0), lambda s, x: F.greatest(s, F.size(x))).alias("longest"), F.aggregate(made, F.lit(0), lambda s, x: s + F.size(x)).alias("tokens"))
+    pairs = _turn_pairs(spark, sf_dir).select("conv_id", "turn", chars("query").alias("q"), chars("body").alias("b"))
+    made = pairs.select("conv_id", "turn", F.transform(windows.pair_windows(F.col("q"), F.col("b"), F.array(F.lit(5), F.lit(6)), 256), lambda x: F.size(x)).alias("sizes"))
+    return made.select("conv_id", "turn", F.size("sizes").alias("pairs"), F.array_max("sizes").alias("longest"), F.aggregate("sizes", F.lit(0), lambda s, x: s + x).alias("tokens"))
 
 
 @query
@@ -270,14 +271,14 @@ def relevance_flags(spark, sf_dir):
 def evidence_ranking(spark, sf_dir):
     rows, *_ = S.ranked(spark, sf_dir)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*ranking.GROUP).orderBy(*ranking.order())))
-    return rows.select("query_id", "snapshot_id", "passage_id", F.round("evidence_score", 6).alias("evidence_score"), F.round("section_boost", 6).alias("section_boost"), F.round("paragraph_boost", 6).alias("paragraph_boost"), "tier", F.round("value", 6).alias("value"), "exact_match", "reason", "rank")
+    return rows.select("query_id", "snapshot_id", "passage_id", F.round("evidence_score", 6).alias("evidence_score"), F.round("section_boost", 6).alias("section_boost"), F.round("paragraph_boost", 6).alias("paragraph_boost"), "tier", F.round("value", 9).alias("value"), "exact_match", "reason", "rank")
 
 
 @query
 def adaptive_paragraphs(spark, sf_dir):
     rows, q, blocks, par = S.ranked(spark, sf_dir)
     found = ranking.adaptive(rows, q, blocks, par)
-    return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("score", 6).alias("score"), F.round("evidence_score", 6).alias("evidence_score"), "tier", F.round("value", 6).alias("value"), F.col("focus.passage_id").alias("focus_id"))
+    return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("score", 6).alias("score"), F.round("evidence_score", 6).alias("evidence_score"), "tier", F.round("value", 9).alias("value"), F.col("focus.passage_id").alias("focus_id"))
 
 
 def _question(rows: DataFrame, par: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +290,7 @@ def question_cutoff(spark, sf_dir):
     rows, q, blocks, par = S.ranked(spark, sf_dir)
     base = ranking.adaptive(rows, q, blocks, par).filter(F.col("is_paragraph") | X.substantive(F.col("role")))
     found = hybrid.question_rows(base, rows, *_question(rows, par))
-    return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("question_score", 6).alias("question_score"), F.round("value", 6).alias("value"))
+    return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("question_score", 9).alias("question_score"), F.round("value", 9).alias("value"))
 
 
 def _results(spark, sf_dir) -> DataFrame:
@@ -298,14 +299,14 @@ def _results(spark, sf_dir) -> DataFrame:
 
 @query
 def hybrid_final(spark, sf_dir):
-    return _results(spark, sf_dir).select("query_id", "snapshot_id", "passage_id", "is_paragraph", "tier", F.round("value", 6).alias("value"), "rank")
+    return _results(spark, sf_dir).select("query_id", "snapshot_id", "passage_id", "is_paragraph", "tier", F.round("value", 9).alias("value"), "rank")
 
 
 @query
 def hybrid_question(spark, sf_dir):
     rows, q, blocks, par = S.ranked(spark, sf_dir)
     found = hybrid.finalize(rows, q, blocks, par, _question(rows, par))
-    return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("value", 6).alias("value"), "rank")
+    return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("value", 9).alias("value"), "rank")
 
 
 @query
