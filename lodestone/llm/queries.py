@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, exact_dedup, jaccard_join, packing, pii, quality, substring_dedup, token_counts, top_k
+from lodestone.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, substring_dedup, token_counts, top_k
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,6 +49,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_top_k": op5_top_k,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_line_dedup": op8_line_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_pii": op10_pii,
     }
