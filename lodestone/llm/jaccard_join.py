@@ -35,7 +35,7 @@ CHUNK_BYTES = 4 << 20
 #: Ratio of the largest to the smallest size of a band.
 BAND = 1.4
 #: Sets that meet under one key are all paired up to so many; beyond, with the smallest, and again where that isn't enough.
-FEW = 12
+FEW = 3
 SEEDS = 6
 _SETS = "n_shingles long, class long, shingles binary"
 
@@ -126,8 +126,8 @@ def set_keys(shingles: np.ndarray, percent: int, plan: list[Band]) -> np.ndarray
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """A bitmap: which of its places are hit by an odd number of n-grams; as many places as a power of two from 256 up."""
-    places = 1 << max(8, (len(shingles) - 1).bit_length())
+    """A bitmap: which of its places are hit by an odd number of n-grams; a power of two from 256, four for each or more."""
+    places = 1 << max(8, (4 * len(shingles) - 1).bit_length())
     hits = np.bincount((mix(shingles) & np.uint64(places - 1)).astype(np.int64), minlength=places)
     return np.packbits(hits & 1, bitorder="little").tobytes()
 
@@ -308,7 +308,9 @@ def _cross_pairs(met: DataFrame, stars: DataFrame, groups: DataFrame, classes: D
         least = min(map(len, bits))
         rows = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in bits])
         out = []
-        for i in range(len(node)):
+        # two groups of a meeting always have a member outside the largest group
+        kinds, back, times = np.unique(group, return_inverse=True, return_counts=True)
+        for i in np.flatnonzero(back != np.argmax(times)).tolist():
             unlike = np.bitwise_count(rows[i] ^ rows).sum(axis=1, dtype=np.int64)
             allowed = ((100 + percent) * unlike <= (100 - percent) * (size[i] + size)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             allowed[i] = False

@@ -103,7 +103,7 @@ def _keys(lines: list[str]) -> np.ndarray:
     for line in lines:
         part.append(line)
         size += len(line)
-        if size > SLICE_BYTES // 2:
+        if size > SLICE_BYTES:
             out.append(band_keys(part))
             part, size = [], 0
     if part:
