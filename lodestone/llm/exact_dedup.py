@@ -34,7 +34,7 @@ def directory(keyed: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth: int
     keyed has _key and _bytes. The histogram of leading bits has 2**max_depth rows at most, however large the input. A
     bucket splits while it is overfull, so all of one key stay in one bucket: the longest prefix ends its splits.
     """
-    counts = written(keyed.groupBy(_prefix(F.col("_key"), max_depth).alias("prefix")).agg(F.sum("_bytes").alias("b")), "histogram")
+    counts = keyed.groupBy(_prefix(F.col("_key"), max_depth).alias("prefix")).agg(F.sum("_bytes").alias("b"))
     owner = F.expr(f"shiftright(prefix, {max_depth} - depth)")
     doublings = F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1))).alias("depth")
     # at each depth, the buckets that are overfull; what lies above such a bucket is overfull too
@@ -54,27 +54,23 @@ def index(docs: DataFrame, id_: str = "doc_id", text: str = "text", key=text_key
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_).alias("_id"), body.alias("_text")).withColumn("_key", key(F.col("_text")))
     sizes = rows.select("_key", F.octet_length("_text").alias("_bytes"))
-    owners = written(directory(sizes, bucket_bytes, max_depth), "directory")
+    # 2**max_depth rows at most, in one file
+    owners = written(directory(sizes, bucket_bytes, max_depth).coalesce(1), "directory")
+    tasks = owners.select("bucket").distinct().count()
     entries = (
         rows.groupBy("_key", "_text")
         .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("_key", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size", F.when(F.lit(True), F.xxhash64("_text", F.lit(1))).alias("_tie"))
+        .select("_key", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size", F.xxhash64("_text", F.lit(1)).alias("_tie"))
         .join(F.broadcast(owners.select("prefix", "bucket")), _prefix(F.col("_key"), max_depth) == F.col("prefix"))
     )
     chained = entries.groupBy("bucket", "_key").agg(F.sort_array(F.collect_list(F.struct("text_sha256", "_tie", "keep_id", "group_size"))).alias("_chain"))
-    ranged = chained.select("bucket", F.col("_key").alias("key"), F.posexplode("_chain").alias("_at", "_e"))
+    ranged = chained.select("bucket", F.col("_key").alias("key"), "_chain", F.posexplode("_chain").alias("_at", "_e"))
     return written(
-        ranged.select("bucket", "key", (F.col("_at") + 1).alias("chain"), F.col("_e.keep_id").alias("keep_id"), F.col("_e.group_size").alias("group_size"), F.col("_e.text_sha256").alias("text_sha256"), F.max(F.col("_at") + 1).over(_by_key()).alias("chains")),
+        ranged.select("bucket", "key", (F.col("_at") + 1).alias("chain"), F.col("_e.keep_id").alias("keep_id"), F.col("_e.group_size").alias("group_size"), F.col("_e.text_sha256").alias("text_sha256"), F.size("_chain").alias("chains")).coalesce(tasks),
         "index",
     )
 
 
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket", "key")
-
-
 def exact_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", key=text_key, bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row for each row of docs: id_, keep_id, group_size, kept, text_sha256.
 
