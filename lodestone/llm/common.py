@@ -76,6 +76,13 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like that one which df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one number, summed on the executors."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import fresh, written
 
 #: Bytes of distinct text that a bucket holds, and the most leading bits that the directory can tell apart.
 BUCKET_BYTES = 32 << 20
@@ -92,9 +92,14 @@ def exact_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", k
 
 
 def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated with their id one stays."""
-    entries = index(docs, id_, text).select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    """The rows of docs that stay, with all their columns; of rows repeated with their id and text one stays."""
+    k, h = fresh(docs, "_key"), fresh(docs, "_sha")
+    entries = index(docs, id_, text).select(F.col("key").alias("_entry_key"), F.col("keep_id").alias("_entry_id"), F.col("text_sha256").alias("_entry_sha"))
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_key", text_key(body)).withColumn("_sha", F.sha2(body, 256))
-    same = keyed["_key"].eqNullSafe(entries["_key"]) & keyed["_sha"].eqNullSafe(entries["_sha"]) & keyed[id_].eqNullSafe(entries["_keep"])
-    return keyed.join(entries, same, "left_semi").drop("_key", "_sha").dropDuplicates([id_, text])
+    keyed = docs.withColumns({k: text_key(body), h: F.sha2(body, 256)})
+    same = keyed[k].eqNullSafe(entries["_entry_key"]) & keyed[h].eqNullSafe(entries["_entry_sha"]) & keyed[id_].eqNullSafe(entries["_entry_id"])
+    out = keyed.join(entries, same, "left_semi")
+    again = docs.select(F.col(id_).alias("i"), text_key(body).alias("k")).groupBy("i", "k").count().filter("count > 1")
+    if not again.isEmpty():
+        out = out.dropDuplicates([id_, k, h])
+    return out.drop(k, h)

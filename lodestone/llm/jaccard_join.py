@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Words, buffers, in_chunks, mix, shingle_sets, slices, text_bytes, written
+from lodestone.llm.common import Words, buffers, fresh, in_chunks, mix, shingle_sets, slices, text_bytes, written
 from lodestone.llm.components import components
 from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 
@@ -391,5 +391,6 @@ def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their component, with all their columns; rows without id stay."""
     found = jaccard_components(docs.select(id_, text), ngram, percent, id_, text)
-    gone = found.filter(F.col(id_) != F.col("component_id")).select(F.col(id_).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_] == gone["_gone"], "left_anti")
+    name = fresh(docs, "_gone")
+    gone = found.filter(F.col(id_) != F.col("component_id")).select(F.col(id_).alias(name)).distinct()
+    return docs.join(gone, docs[id_] == gone[name], "left_anti")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import fresh
+
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 ROUNDS = 10
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -137,14 +139,14 @@ def pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     if not key or any(not (c.isalnum() or c in " -_") for c in key):
         raise ValueError("the key may hold letters, digits, blanks, - and _ only")
-    body = f"`{text}`"
+    body, was, now = f"`{text}`", fresh(docs, "_found"), fresh(docs, "_pseudonyms")
     found = f"IF({body} RLIKE '[0-9@]', regexp_extract_all({body}, {_sql(_ANY)}, 0), array())"
     kinds = f"transform({found}, m -> named_struct('m', m, 'k', {_KIND}))"
-    out = docs.withColumn("_found", F.expr(kinds))
-    fresh = f"transform(_found, v -> transform(array(v), w -> {_pseudonym(key)})[0])"
-    out = out.withColumn("_fresh", F.expr(fresh))
+    out = docs.withColumn(was, F.expr(kinds))
+    renamed = f"transform({was}, v -> transform(array(v), w -> {_pseudonym(key)})[0])"
+    out = out.withColumn(now, F.expr(renamed))
     parts = f"split({body}, {_sql(_ANY)}, -1)"
-    woven = f"array_join(flatten(zip_with({parts}, _fresh, (a, b) -> array(a, coalesce(b, '')))), '')"
-    counts = {f"n_{k}": F.expr(f"coalesce(cast(size(filter(_found, v -> v.k = '{k}')) AS BIGINT), 0L)") for k in KINDS}
+    woven = f"array_join(flatten(zip_with({parts}, {now}, (a, b) -> array(a, coalesce(b, '')))), '')"
+    counts = {f"n_{k}": F.expr(f"coalesce(cast(size(filter({was}, v -> v.k = '{k}')) AS BIGINT), 0L)") for k in KINDS}
     counts = {k: F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(v) for k, v in counts.items()}
-    return out.withColumn(text, F.expr(f"CASE WHEN exists(_found, v -> v.k IS NOT NULL) THEN {woven} ELSE {body} END")).withColumns(counts).drop("_found", "_fresh")
+    return out.withColumn(text, F.expr(f"CASE WHEN exists({was}, v -> v.k IS NOT NULL) THEN {woven} ELSE {body} END")).withColumns(counts).drop(was, now)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Words, buffers, slices
+from lodestone.llm.common import Words, buffers, fresh, slices
 
 #: Hashed words, factors, and labelled rows that the model is fitted on at most (those of the smallest hash of their id).
 WORD_BUCKETS = 1 << 14
@@ -203,24 +203,24 @@ def scores(docs: DataFrame, model: Model, id_: str = "doc_id", text: str = "text
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORD_BUCKETS and FACTORS
 
-    def scored(batch: pa.RecordBatch) -> np.ndarray:
-        data, at = buffers(batch.column("_text"))
-        meta_ = batch.column("_meta").to_numpy(zero_copy_only=False)
+    def scored(texts: pa.Array, counts: pa.Array) -> np.ndarray:
+        data, at = buffers(texts)
+        meta_ = counts.to_numpy(zero_copy_only=False)
         return np.concatenate([sent.value.score(data[at[i] : at[j]], at[i : j + 1] - at[i], meta_[i:j]) for i, j in slices(at)] or [np.empty(0)])
 
     if keep:
-        names = docs.columns
+        names, body, count = docs.columns, fresh(docs, "_body"), fresh(docs, "_count")
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = pa.array(scored(batch) >= 0.5)
+                good = pa.array(scored(batch.column(body), batch.column(count)) >= 0.5)
                 yield batch.filter(good).select(names)
 
-        return docs.withColumns({"_text": F.coalesce(F.col(text), F.lit("")), "_meta": _meta(docs, text, meta)}).mapInArrow(kept, docs.schema)
+        return docs.withColumns({body: F.coalesce(F.col(text), F.lit("")), count: _meta(docs, text, meta)}).mapInArrow(kept, docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = scored(batch)
+            score = scored(batch.column("_text"), batch.column("_meta"))
             yield pa.RecordBatch.from_arrays([batch.column(id_), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=out.names)
 
     out = T.StructType([T.StructField(id_, docs.schema[id_].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
