@@ -43,13 +43,13 @@ def _contract(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, _LINK)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, nodes: int | None = None) -> DataFrame:
     """node and component, the smallest node that it reaches; one row for each node that has a link to another.
 
     links has long columns a and b. Each round is written to the shared folder. No step collects a node's links: stars are
-    joins with a minimum, so a node with very many links is split like any skewed key.
+    joins with a minimum, so a node with very many links is split like any skewed key. nodes is about how many there are.
     """
-    links = written(_contract(links.filter("a <> b")), "links")
+    links = written(_contract(links.filter("a <> b")), "links", nodes)
     before = None
     while True:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -58,7 +58,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
         small = joined.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
-        after = written(small, "links")
+        after = written(small, "links", nodes)
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_written(links)
         links = after

@@ -283,9 +283,9 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return named.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
-def _undecided(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+def _undecided(pairs: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
     """Centers of stars with an end in another component."""
-    return written(_apart(pairs, groups).select(F.col("a").alias("center")).distinct(), "centers")
+    return written(_apart(pairs, groups).select(F.col("a").alias("center")).distinct(), "centers", rows)
 
 
 def _cross_pairs(met: DataFrame, stars: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
@@ -340,31 +340,34 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     empty result; other columns are not read. Sets are compared by 64-bit hashes of their n-grams.
     """
     sets = written(_sets(docs, ngram, percent, id_, text, chunk_bytes), "sets")
-    classes = written(_classes(sets), "classes")
+    documents = sets.count()
+    classes = written(_classes(sets), "classes", 20 * documents)
     found, largest, total = classes.agg(F.count(F.lit(1)), F.max("n_shingles"), F.sum("n_shingles")).first()
     plain = sets.select(F.col("doc_id").alias(id_), "n_shingles", "class")
     if not found:
         return plain.select(id_, "n_shingles", F.col(id_).alias("component_id"), "class")
     shards = max(1, int(total) // 400_000)
+    work = 20 * found  # steps that work on sets spread over more tasks than those on numbers alone
     met = written(_meetings(classes, percent, int(largest), shards), "meetings")
     all_pairs = written(_distinct_pairs(met, shards), "met")
-    pairs = written(_bounded(all_pairs, classes, percent), "pairs")
+    pairs = written(_bounded(all_pairs, classes, percent), "pairs", work)
     # each set is first verified against the smallest it may link with; what that leaves apart follows
-    edges = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, percent), "edges")
-    groups = written(components(edges), "components")
-    more = written(_verified(_apart(pairs, groups), classes, percent), "edges")
-    groups = _joined(groups, more)
+    edges = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, percent), "edges", work)
+    groups = written(components(edges, found), "components", found)
+    more = written(_verified(_apart(pairs, groups), classes, percent), "edges", work)
+    groups = _joined(groups, more, found)
     first, last = 0, 4
-    centers = _undecided(all_pairs, groups) if not met.filter("kind = 1").isEmpty() else None
+    centers = _undecided(all_pairs, groups, found) if not met.filter("kind = 1").isEmpty() else None
     while centers is not None and not centers.isEmpty():
-        left = written(_cross_pairs(met, centers, groups, classes, percent, first, last), "pairs")
-        groups = _joined(groups, written(_verified(_apart(left.filter("a <> b"), groups), classes, percent), "edges"))
+        left = written(_cross_pairs(met, centers, groups, classes, percent, first, last), "pairs", work)
+        more = written(_verified(_apart(left.filter("a <> b"), groups), classes, percent), "edges", work)
+        groups = _joined(groups, more, found)
         if left.filter("a = b").isEmpty():
             break
         first, last = last, 4 * last
     # classes that link with no other still hold equal documents
     named = plain.join(groups, plain["class"] == groups["node"], "left").select(id_, "n_shingles", "class", F.coalesce("component", "class").alias("_c"))
-    named = written(named, "named")
+    named = written(named, "named", documents)
     least = named.filter("_c is not null").groupBy("_c").agg(F.min(id_).alias("_least"))
     return named.join(least, "_c", "left").select(id_, "n_shingles", F.when(F.col("_c").isNull(), F.col(id_)).otherwise(F.col("_least")).alias("component_id"), "class")
 
@@ -381,11 +384,11 @@ def _classes(sets: DataFrame) -> DataFrame:
     return one.mapInArrow(run, "class long, n_shingles long, shingles binary, parities binary")
 
 
-def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
+def _joined(groups: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
     """Components after more links."""
     if edges.isEmpty():
         return groups
-    return written(components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(edges)), "components")
+    return written(components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(edges), rows), "components", rows)
 
 
 def keep_one(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +29,25 @@ from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 SHINGLE = 5
 PERCENT = 80
 BINS = 64
-ROWS = 8
-BANDS = 28
+ROWS = 7
+BANDS = 18
 CHUNK_BYTES = 4 << 20
 
 _rng = np.random.default_rng(31)
 _CHOICE = np.stack([_rng.choice(BINS, ROWS, replace=False) for _ in range(BANDS)])
 _FACTOR = _rng.integers(1 << 62, 1 << 63, max(ROWS, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BIN_BITS = BINS.bit_length() - 1
 _NONE = np.uint64((1 << 64) - 1)
 
 
 def normal(line: str) -> str:
-    """What counts of a line: lower case, each run of white space as one blank, none at the ends."""
-    return " ".join(line.lower().split())
+    """What counts of a line: A-Z in lower case, each run of blanks and control characters from tab to carriage return as
+    one blank, none at the ends."""
+    return _normal(line.encode()).decode()
+
+
+def _normal(line: bytes) -> bytes:
+    return b" ".join(line.lower().split())
 
 
 def shingles(line: str, size: int = SHINGLE) -> set[str]:
@@ -48,27 +55,38 @@ def shingles(line: str, size: int = SHINGLE) -> set[str]:
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))} if line else set()
 
 
+_remembered = lru_cache(maxsize=512)(shingles)
+
+
 def similar(a: str, b: str, percent: int, size: int = SHINGLE) -> bool:
-    x, y = shingles(a, size), shingles(b, size)
+    x, y = _remembered(a, size), _remembered(b, size)
     common = len(x & y)
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
-    """The keys of normal, non-empty lines, one row each."""
-    code = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le"), np.uint32)
+def band_keys(lines: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The keys of normal, non-empty lines in UTF-8, one row each."""
+    code = np.frombuffer(b"\n".join([*lines, b""]).decode().encode("utf-32-le"), np.uint32)
     stop = np.flatnonzero(code == 10)
-    start = np.concatenate(([0], stop[:-1] + 1))
-    runs = np.maximum(stop - start - size + 1, 1)
-    owner = np.repeat(np.arange(len(lines)), runs)
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+    length = np.diff(stop, prepend=-1) - 1
+    start = stop - length
+    n = len(code)
     wide = np.concatenate([code, np.zeros(size, np.uint32)]).astype(np.uint64)
-    value = np.zeros(len(at), np.uint64)
-    for k in range(size):  # a shorter line ends with its line break, whatever follows
-        value += np.where(at + k < stop[owner], wide[at + k], 0) * _FACTOR[k]
-    value = mix(value)
+    value = wide[:n] * _FACTOR[0]
+    for k in range(1, size):
+        value += wide[k : n + k] * _FACTOR[k]
+    for i in np.flatnonzero(length < size).tolist():  # the whole of a shorter line
+        value[start[i]] = sum(int(c) * int(f) for c, f in zip(code[start[i] : stop[i]], _FACTOR, strict=False)) & (1 << 64) - 1
+    inside = np.ones(n, bool)  # where a run begins: not at a line break, nor at the last size - 1 characters before one
+    for k in range(size):
+        inside[np.maximum(stop - k, 0)] = False
+    inside[start[length < size]] = True
+    runs = np.maximum(length - size + 1, 1)
+    owner = np.repeat(np.arange(len(lines), dtype=np.int64) * BINS, runs)
+    value = value[inside]  # sums of characters by random factors: their high bits are random
     table = np.full(len(lines) * BINS, _NONE)
-    np.minimum.at(table, owner * BINS + (value >> np.uint64(58)).astype(np.int64) % BINS, value)
+    owner += (value >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
+    np.minimum.at(table, owner, (value << np.uint64(_BIN_BITS)) >> np.uint64(32))
     table = table.reshape(-1, BINS)
     empty, source = table == _NONE, table.copy()
     for step in range(1, BINS):
@@ -84,12 +102,12 @@ def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64) * _FACTOR[ROWS])
 
 
-def _lines(table: pa.Table) -> tuple[list[int], list[int], list[str]]:
+def _lines(table: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
     """Of a chunk's non-blank lines the row, the number within its text, and the normal form."""
     rows, numbers, found = [], [], []
-    for row, text in enumerate(table.column("_text").to_pylist()):
-        for number, line in enumerate(text.split("\n")):
-            line = normal(line)
+    for row, text in enumerate(table.column("_text").cast(pa.binary()).to_pylist()):
+        for number, line in enumerate(text.split(b"\n")):
+            line = _normal(line)
             if line:
                 rows.append(row)
                 numbers.append(number)
@@ -97,13 +115,13 @@ def _lines(table: pa.Table) -> tuple[list[int], list[int], list[str]]:
     return rows, numbers, found
 
 
-def _keys(lines: list[str]) -> np.ndarray:
+def _keys(lines: list[bytes]) -> np.ndarray:
     """Band keys in portions of bounded size."""
     out, part, size = [np.empty((0, BANDS), np.uint64)], [], 0
     for line in lines:
         part.append(line)
         size += len(line)
-        if size > SLICE_BYTES:
+        if size > SLICE_BYTES // 2:
             out.append(band_keys(part))
             part, size = [], 0
     if part:
@@ -111,8 +129,8 @@ def _keys(lines: list[str]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _name(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _name(line: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
 
 
 def _candidates(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -133,7 +151,7 @@ def _candidates(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         times = np.bincount([place[line] for line in found], minlength=len(distinct))
         kept = [(r, n, line, place[line]) for r, n, line in zip(rows, numbers, found, strict=True) if times[place[line]] > 1 or often[place[line]].any()]
         return pa.table(
-            [table.column("row_id").take(pa.array([r for r, *_ in kept], pa.int64())), pa.array([n for _, n, *_ in kept], pa.int32()), pa.array([_name(line) for *_, line, _ in kept], pa.int64()), pa.array([line for *_, line, _ in kept], pa.string()), pa.array([keys[k][often[k]].astype(np.int64) for *_, k in kept], pa.list_(pa.int64()))],
+            [table.column("row_id").take(pa.array([r for r, *_ in kept], pa.int64())), pa.array([n for _, n, *_ in kept], pa.int32()), pa.array([_name(line) for *_, line, _ in kept], pa.int64()), pa.array([line.decode() for *_, line, _ in kept], pa.string()), pa.array([keys[k][often[k]].astype(np.int64) for *_, k in kept], pa.list_(pa.int64()))],
             names=["row_id", "number", "node", "line", "keys"],
         )
 
@@ -162,10 +180,11 @@ def repeated_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", per
     """id_, number (of the line in its text, from 0), component and stays, of each line that is like another one."""
     plain = docs.select(F.col(id_).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = written(_candidates(plain, chunk_bytes), "lines")
-    nodes = written(found.groupBy("node").agg(F.first("line").alias("line"), F.first("keys").alias("keys")), "nodes")
-    groups = written(components(written(_links(nodes, percent), "links")), "components")
+    lines = found.count()
+    nodes = written(found.groupBy("node").agg(F.first("line").alias("line"), F.first("keys").alias("keys")), "nodes", 8 * lines)
+    groups = written(components(written(_links(nodes, percent), "links", 2 * lines), lines), "components", lines)
     named = found.select("row_id", "number", "node").join(groups, "node", "left").select("row_id", "number", F.coalesce("component", "node").alias("component"))
-    named = written(named, "named")
+    named = written(named, "named", lines)
     first = named.groupBy("component").agg(F.min(F.struct("row_id", "number")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     out = named.join(first, "component")
     stays = F.struct("row_id", "number").eqNullSafe(F.col("first"))
@@ -176,7 +195,7 @@ def remove_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", perce
     """id_, n_lines, n_removed and kept_text of each row of docs.
 
     Lines are what line feeds part; blank ones are never removed. Two lines are linked when their sets of runs of five
-    characters, in lower case and with single blanks, have a Jaccard similarity of percent or more; equal lines are. Of the
+    characters, A-Z in lower case and with single blanks, have a Jaccard similarity of percent or more; equal lines are. Of the
     lines that links join, the first stays: the smallest id, then the smallest number. A null or empty text has one blank
     line. Rows repeated with their id are judged together and all keep the line that stays. A null id is smaller than any;
     rows without id are judged as one. An empty table gives an empty result; other columns are not read.

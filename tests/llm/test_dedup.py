@@ -271,6 +271,6 @@ def test_bands_find_similar_lines():
         a, b = line_dedup.normal(line), line_dedup.normal("".join(other))
         if line_dedup.similar(a, b, 80):
             total += 1
-            x, y = line_dedup.band_keys([a, b])
+            x, y = line_dedup.band_keys([a.encode(), b.encode()])
             found += bool((x == y).any())
     assert total > 20 and found >= 0.95 * total
