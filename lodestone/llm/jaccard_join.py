@@ -288,7 +288,7 @@ def _undecided(pairs: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
     return written(_apart(pairs, groups).select(F.col("a").alias("center")).distinct(), "centers", rows)
 
 
-def _cross_pairs(met: DataFrame, stars: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
+def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
     """Of larger meetings whose members are in different components so far, pairs across that the bound allows.
 
     Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a = b says
@@ -322,7 +322,7 @@ def _cross_pairs(met: DataFrame, stars: DataFrame, groups: DataFrame, classes: D
                 out.append((node[i], node[i]))
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    open_ = met.filter("kind = 1").join(stars, "center", "left_semi")
+    open_ = meetings.join(stars, "center", "left_semi")
     rows = open_.select("body").distinct().mapInArrow(members, "meeting long, node long").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     several = rows.groupBy("meeting").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("meeting")
     full = rows.join(several, "meeting", "left_semi").join(classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "parities"), "node")
@@ -356,15 +356,19 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     groups = written(components(edges, found), "components", found)
     more = written(_verified(_apart(pairs, groups), classes, percent), "edges", work)
     groups = _joined(groups, more, found)
-    first, last = 0, 4
-    centers = _undecided(all_pairs, groups, found) if not met.filter("kind = 1").isEmpty() else None
-    while centers is not None and not centers.isEmpty():
-        left = written(_cross_pairs(met, centers, groups, classes, percent, first, last), "pairs", work)
-        more = written(_verified(_apart(left.filter("a <> b"), groups), classes, percent), "edges", work)
-        groups = _joined(groups, more, found)
-        if left.filter("a = b").isEmpty():
-            break
-        first, last = last, 4 * last
+    large = met.filter("kind = 1").select("center", "body")
+    if not large.isEmpty():
+        # the largest meeting of each center first: it settles most of what the stars have left open
+        one = written(large.groupBy("center").agg(F.max_by("body", F.length("body")).alias("body")), "largest", found)
+        for meetings, first, last in ((one, 0, 2), (one, 2, 8), *((large, 4**k, 4 ** (k + 1)) if k else (large, 0, 4) for k in range(32))):
+            centers = _undecided(all_pairs, groups, found)
+            if centers.isEmpty():
+                break
+            left = written(_cross_pairs(meetings, centers, groups, classes, percent, first, last), "pairs", work)
+            more = written(_verified(_apart(left.filter("a <> b"), groups), classes, percent), "edges", work)
+            groups = _joined(groups, more, found)
+            if meetings is large and left.filter("a = b").isEmpty():
+                break
     # classes that link with no other still hold equal documents
     named = plain.join(groups, plain["class"] == groups["node"], "left").select(id_, "n_shingles", "class", F.coalesce("component", "class").alias("_c"))
     named = written(named, "named", documents)
