@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -158,40 +159,43 @@ def ordinal(passage_id: Column) -> Column:
     return F.split_part(passage_id, F.lit(":"), F.lit(2))
 
 
+UNKNOWN = "[UNK]"
+
+
+def _folded(text: str) -> tuple[str, list[int], list[int]]:
+    """The text in lower case without marks, and for each of its characters where its source begins and ends (UTF-16)."""
+    ends = list(accumulate((1 + (ord(c) > 0xFFFF) for c in text), initial=0))
+    plain = ["".join(x for x in unicodedata.normalize("NFD", c.lower()) if unicodedata.category(x)[0] != "M") for c in text]
+    begin = [ends[i] for i, p in enumerate(plain) for _ in p]
+    # a mark of its own belongs to the character before it
+    last = [i for i, p in enumerate(plain) if p]
+    until = dict(zip(last, (ends[j] for j in [*last[1:], len(plain)]), strict=False))
+    return "".join(plain), begin, [until[i] if k == len(p) - 1 else ends[i + 1] for i, p in enumerate(plain) for k, _ in enumerate(p)]
+
+
 def token_offsets(text: str, pieces: list[str]) -> list[tuple[int, int]]:
     """Where word pieces of an uncased vocabulary stand in the text, in UTF-16 units.
 
-    Pieces are matched from left to right against the lower-case text without marks; [UNK] reaches to the next piece; one
-    that isn't found takes the whole text.
+    Known pieces are placed first, from left to right in the text in lower case without marks. An unknown one fills the gap
+    up to the piece after it, without white space at its ends. A known one that isn't found takes the whole text.
     """
-    flat, spans, at = [], [], 0
-    for char in text:
-        begin, at = at, at + len(char.encode("utf-16-le")) // 2
-        plain = "".join(c for c in unicodedata.normalize("NFD", char.lower()) if not unicodedata.category(c).startswith("M"))
-        if not plain and spans:
-            spans[-1] = (spans[-1][0], at)
-        for c in plain:
-            flat.append(c)
-            spans.append((begin, at))
-    whole, cursor, out = "".join(flat), 0, []
-    bare = [(p[2:] if p.startswith("##") else p).lower() for p in pieces]
-    for k, piece in enumerate(pieces):
-        if piece == "[UNK]":
-            while cursor < len(whole) and whole[cursor].isspace():
-                cursor += 1
-            begin = cursor
-            following = whole.find(bare[k + 1], cursor + 1) if k + 1 < len(pieces) and bare[k + 1] else -1
-            cursor = following if following >= 0 else len(whole)
-            while cursor > begin and whole[cursor - 1].isspace():
-                cursor -= 1
+    flat, begin, end = _folded(text)
+    whole = (0, len(text.encode("utf-16-le")) // 2)
+    bare = [p.removeprefix("##").lower() for p in pieces]
+    filled = lambda at: at + len(flat[at:]) - len(flat[at:].lstrip())
+    places: list[tuple[int, int] | None] = []
+    at = 0
+    for piece, after, known in zip(bare, [*bare[1:], ""], [p != UNKNOWN for p in pieces], strict=True):
+        if known:
+            found = flat.find(piece, at)
+            places.append((found, found + len(piece)) if found >= 0 else None)
+            at = found + len(piece) if found >= 0 else at
         else:
-            begin = whole.find(bare[k], cursor)
-            if begin < 0:
-                out.append((0, at))
-                continue
-            cursor = begin + len(bare[k])
-        out.append((spans[begin][0] if begin < len(spans) else 0, spans[cursor - 1][1] if 0 < cursor <= len(spans) else at))
-    return out
+            first = filled(at)
+            gap = flat.find(after, first + 1) if after else -1
+            at = first + len(flat[first : gap if gap >= 0 else None].rstrip())
+            places.append((first, at))
+    return [whole if p is None else (begin[p[0]] if p[0] < len(flat) else 0, end[p[1] - 1] if 0 < p[1] <= len(flat) else whole[1]) for p in places]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType(_SPAN)))
@@ -200,6 +204,17 @@ def piece_offsets(text: pd.Series, pieces: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
-    """nfkc and unicode_sentences for use in SQL."""
+    """Functions for use in SQL: nfkc, unicode_sentences, and words, lexical_tokens and is_question of normalised texts."""
     spark.udf.register("nfkc", nfkc)
     spark.udf.register("unicode_sentences", unicode_sentences)
+    stem_sql = """CASE WHEN w IN ('news', 'series', 'species') THEN w WHEN length(w) > 4 AND w LIKE '%ies' THEN concat(left(w, length(w) - 3), 'y')
+        WHEN length(w) > 4 AND w RLIKE '(sses|shes|ches|xes|zes|uses)$' THEN left(w, length(w) - 2)
+        WHEN length(w) > 3 AND w LIKE '%s' AND NOT w RLIKE '(ss|us|is)$' THEN left(w, length(w) - 1) ELSE w END"""
+    found = r"regexp_extract_all(lower(t), r'[\p{L}\p{N}]+', 0)"
+    questions = "|".join(C.QUESTION_WORDS)
+    for name, kind, body in (
+        ("words", "ARRAY<STRING>", found),
+        ("lexical_tokens", "ARRAY<STRING>", f"transform({found}, w -> {stem_sql})"),
+        ("is_question", "BOOLEAN", rf"t RLIKE r'(?i)^\s*(?:{questions})(?![A-Za-z0-9_])'"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {kind} RETURN {body}")

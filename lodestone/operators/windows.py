@@ -56,3 +56,27 @@ def pair_windows(query: Column, body: Column, section: Column, most: int = C.PAI
         return F.transform(targets, join)
 
     return F.flatten(F.transform(parts, of))
+
+
+def register(spark) -> None:
+    """token_windows(tokens, size, overlap) as a table function for SQL: window_no, tokens, start, end."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="window_no int, tokens array<int>, start int, end int")
+    class TokenWindows:
+        def eval(self, tokens: list, size: int, overlap: int):  # noqa: A003
+            if size < 1 or overlap < 0 or overlap >= size:
+                raise ValueError("invalid token window")
+            number, end = 0, 0
+            while end < len(tokens):
+                start = number * (size - overlap)
+                end = min(start + size, len(tokens))
+                yield number, list(tokens[start:end]), start, end
+                number += 1
+
+    spark.udtf.register("token_windows", TokenWindows)
+
+
+def session_id() -> Column:
+    """128 random bits in hexadecimal."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))

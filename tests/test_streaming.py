@@ -84,3 +84,16 @@ def test_refresh_makes_vectors_of_new_texts_only(spark, tmp_path):
     assert refresher.embedded == 0
     assert {r["snapshot_id"]: r["version"] for r in refresher.versions.read().collect()} == {1: 2, 2: 1}
     assert {r["text"] for r in refresher.vectors.read().collect()} == {"One two three four.", "Five six seven nine."}
+
+
+def test_progress_is_throttled():
+    from lodestone.streaming.progress import Throttle
+
+    now, seen = [0.0], []
+    throttle = Throttle(seen.append, 0.1, lambda: now[0])
+    for t in (0.0, 0.05, 0.09, 0.2, 0.25):
+        now[0] = t
+        throttle.put({"t": t})
+    throttle.close()
+    throttle.close()
+    assert [x["t"] for x in seen] == [0.0, 0.2, 0.25]

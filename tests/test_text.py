@@ -81,3 +81,26 @@ def test_preview(spark):
     text = "x" * 100 + "y" * 300
     assert one(spark, X.preview(F.col("t"), F.lit(100), F.lit(110)), t=text) == "…" + text[52:292]
     assert one(spark, X.preview(F.col("t"), F.lit(10), F.lit(390)), t=text) == text[:390]
+
+
+@given(st.text(alphabet="aé ̈🦊🦊B", max_size=12))
+def test_offsets_stay_within_the_text(text):
+    units = len(text.encode("utf-16-le")) // 2
+    assert all(0 <= a <= units and 0 <= b <= units for a, b in X.token_offsets(text, ["[UNK]", "a", "##e", "[UNK]", "b"]))
+
+
+def test_marks_belong_to_the_character_before(spark):
+    assert X.token_offsets("e\u0301x", ["e", "x"]) == [(0, 2), (2, 3)]
+    assert X.token_offsets("ab cd", ["[UNK]"]) == [(0, 5)] and X.token_offsets("", ["[UNK]"]) == [(0, 0)]
+
+
+def test_functions_in_sql(spark):
+    from lodestone.operators import windows
+
+    X.register(spark)
+    windows.register(spark)
+    row = spark.sql("SELECT words('A b-C') AS w, lexical_tokens('Cities and miles') AS t, is_question('who?') AS q, nfkc('Ａ') AS n").first()
+    assert (row["w"], row["t"], row["q"], row["n"]) == (["a", "b", "c"], ["city", "and", "mile"], True, "A")
+    found = spark.sql("SELECT * FROM token_windows(array(1, 2, 3, 4, 5), 3, 1)").collect()
+    assert [(r["start"], r["end"]) for r in found] == [(0, 3), (2, 5)]
+    assert len(spark.range(1).select(windows.session_id().alias("x")).first()["x"]) == 32
