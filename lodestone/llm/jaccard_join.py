@@ -136,10 +136,8 @@ def may_link(n: int, bits: np.ndarray, m: int, others: np.ndarray, percent: int)
     """False only if the two sets certainly don't link: their difference is at least the number of unlike parities."""
     if 100 * min(n, m) < percent * max(n, m):
         return False
-    while len(bits) > len(others):
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    while len(others) > len(bits):
-        others = others[: len(others) // 2] ^ others[len(others) // 2 :]
+    least = min(len(bits), len(others))
+    bits, others = (np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) if len(x) > least else x for x in (bits, others))
     return (100 + percent) * int(np.bitwise_count(bits ^ others).sum()) <= (100 - percent) * (n + m)
 
 
@@ -255,7 +253,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
-            good = [may_link(n[i], np.frombuffer(x[i], np.uint8), m[i], np.frombuffer(y[i], np.uint8), percent) for i in range(len(n))]
+            good = [may_link(n[i], np.frombuffer(x[i], np.uint64), m[i], np.frombuffer(y[i], np.uint64), percent) for i in range(len(n))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n"), F.col("parities").alias("x"))
@@ -291,39 +289,41 @@ def _undecided(pairs: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
 def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
     """Of larger meetings whose members are in different components so far, pairs across that the bound allows.
 
-    Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a = b says
-    that there are further ones. So a meeting never lists all its pairs, and each pair that matters has its turn.
+    Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a null a
+    says that the meeting b has further ones. So a meeting never lists all its pairs, and each pair that matters has its turn.
+    meetings: center, body, meeting.
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body in batch.column(0).to_pylist():
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = np.frombuffer(body, np.int64)
-                name = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.int64()), pa.array(found)], names=["meeting", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array(found)], names=["meeting", "node"])
 
     def across(table: pa.Table) -> pa.Table:
         node, group, size = (table.column(c).to_numpy() for c in ("node", "c", "n"))
-        bits = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("parities")]
+        bits = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("parities")]
         least = min(map(len, bits))
         rows = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in bits])
-        out = []
+        out, more = [], False
         # two groups of a meeting always have a member outside the largest group
-        kinds, back, times = np.unique(group, return_inverse=True, return_counts=True)
+        _, back, times = np.unique(group, return_inverse=True, return_counts=True)
         for i in np.flatnonzero(back != np.argmax(times)).tolist():
-            unlike = np.bitwise_count(rows[i] ^ rows).sum(axis=1, dtype=np.int64)
-            allowed = ((100 + percent) * unlike <= (100 - percent) * (size[i] + size)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            allowed[i] = False
-            order = np.flatnonzero(allowed)
-            order = order[np.lexsort((node[order], unlike[order]))]
-            other = group[order] != group[i]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in order[first:last][other[first:last]].tolist()]
-            if other[last:].any():
-                out.append((node[i], node[i]))
+            unlike = np.bitwise_count(rows ^ rows[i]).sum(axis=1, dtype=np.int64)
+            good = ((100 + percent) * unlike <= (100 - percent) * (size[i] + size)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            good[i] = False
+            # the order is the same in every round, whatever components have joined since
+            near = np.flatnonzero(good)
+            near = near[np.lexsort((node[near], unlike[near]))]
+            apart = back[near] != back[i]
+            out += [(min(node[i], x), max(node[i], x)) for x in node[near[first:last][apart[first:last]]].tolist()]
+            more |= bool(apart[last:].any())
+        if more:
+            out.append((None, table.column("meeting")[0].as_py()))
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     open_ = meetings.join(stars, "center", "left_semi")
-    rows = open_.select("body").distinct().mapInArrow(members, "meeting long, node long").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    rows = open_.select("meeting", "body").mapInArrow(members, "meeting long, node long").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     several = rows.groupBy("meeting").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("meeting")
     full = rows.join(several, "meeting", "left_semi").join(classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "parities"), "node")
     return full.select("meeting", "node", "c", "n", "parities").groupBy("meeting").applyInArrow(across, "a long, b long").distinct()
@@ -356,19 +356,26 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     groups = written(components(edges, found), "components", found)
     more = written(_verified(_apart(pairs, groups), classes, percent), "edges", work)
     groups = _joined(groups, more, found)
-    large = met.filter("kind = 1").select("center", "body")
+    large = met.filter("kind = 1").select("center", "body", F.xxhash64("body").alias("meeting")).dropDuplicates(["meeting"])
     if not large.isEmpty():
         # the largest meeting of each center first: it settles most of what the stars have left open
-        one = written(large.groupBy("center").agg(F.max_by("body", F.length("body")).alias("body")), "largest", found)
-        for meetings, first, last in ((one, 0, 2), (one, 2, 8), *((large, 4**k, 4 ** (k + 1)) if k else (large, 0, 4) for k in range(32))):
+        one = written(large.groupBy("center").agg(F.max_by(F.struct("body", "meeting"), F.length("body")).alias("m")).select("center", "m.body", "m.meeting"), "largest", found)
+
+        def settle(meetings: DataFrame, groups: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+            """Components after a round, and the meetings that need another one."""
             centers = _undecided(all_pairs, groups, found)
-            if centers.isEmpty():
-                break
             left = written(_cross_pairs(meetings, centers, groups, classes, percent, first, last), "pairs", work)
-            more = written(_verified(_apart(left.filter("a <> b"), groups), classes, percent), "edges", work)
-            groups = _joined(groups, more, found)
-            if meetings is large and left.filter("a = b").isEmpty():
+            more = written(_verified(_apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
+            return _joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
+
+        for last in (2, 8):
+            groups, _ = settle(one, groups, 0, last)
+        first, last = 0, 8
+        while True:
+            groups, further = settle(large, groups, first, last)
+            if further.isEmpty():
                 break
+            large, first, last = large.join(further, "meeting", "left_semi"), last, 8 * last
     # classes that link with no other still hold equal documents
     named = plain.join(groups, plain["class"] == groups["node"], "left").select(id_, "n_shingles", "class", F.coalesce("component", "class").alias("_c"))
     named = written(named, "named", documents)
