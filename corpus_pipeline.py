@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, jaccard_join, packing, pii, quality
-from lodestone.llm.common import written
+from lodestone.llm.common import fresh, written
 from lodestone.llm.queries import JSON, PII_KEY, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,7 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses give way to pseudonyms; n_chars follows the text."""
-    return pii.pseudonyms(docs, PII_KEY).select(*docs.columns)
+    before = fresh(docs, "_length")
+    out = pii.pseudonyms(docs.withColumn(before, F.char_length("text")), PII_KEY)
+    return out.withColumn("n_chars", F.col("n_chars") + F.coalesce(F.char_length("text") - F.col(before), F.lit(0))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
