@@ -31,13 +31,17 @@ PERCENT = 80
 BINS = 64
 ROWS = 7
 BANDS = 18
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Of the sketch: a line has few keys for its length, each of which may flag it by chance.
+SHARD_BYTES = 24 << 20
+COUNTERS = 16
 
 _rng = np.random.default_rng(31)
 _CHOICE = np.stack([_rng.choice(BINS, ROWS, replace=False) for _ in range(BANDS)])
 _FACTOR = _rng.integers(1 << 62, 1 << 63, max(ROWS, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BIN_BITS = BINS.bit_length() - 1
-_NONE = np.uint64((1 << 64) - 1)
+_FACTOR32 = (_FACTOR >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
+_NONE = np.uint32((1 << 32) - 1)
 
 
 def normal(line: str) -> str:
@@ -64,6 +68,13 @@ def similar(a: str, b: str, percent: int, size: int = SHINGLE) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """32 bits, scrambled reversibly."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
 def band_keys(lines: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The keys of normal, non-empty lines in UTF-8, one row each."""
     code = np.frombuffer(b"\n".join([*lines, b""]).decode().encode("utf-32-le"), np.uint32)
@@ -71,30 +82,31 @@ def band_keys(lines: list[bytes], size: int = SHINGLE) -> np.ndarray:
     length = np.diff(stop, prepend=-1) - 1
     start = stop - length
     n = len(code)
-    wide = np.concatenate([code, np.zeros(size, np.uint32)]).astype(np.uint64)
-    value = wide[:n] * _FACTOR[0]
+    wide = np.concatenate([code, np.zeros(size, np.uint32)])
+    value = wide[:n] * _FACTOR32[0]
     for k in range(1, size):
-        value += wide[k : n + k] * _FACTOR[k]
+        value += wide[k : n + k] * _FACTOR32[k]
     for i in np.flatnonzero(length < size).tolist():  # the whole of a shorter line
-        value[start[i]] = sum(int(c) * int(f) for c, f in zip(code[start[i] : stop[i]], _FACTOR, strict=False)) & (1 << 64) - 1
+        value[start[i]] = sum(int(c) * int(f) for c, f in zip(code[start[i] : stop[i]], _FACTOR32, strict=False)) & (1 << 32) - 1
     inside = np.ones(n, bool)  # where a run begins: not at a line break, nor at the last size - 1 characters before one
     for k in range(size):
         inside[np.maximum(stop - k, 0)] = False
     inside[start[length < size]] = True
     runs = np.maximum(length - size + 1, 1)
     owner = np.repeat(np.arange(len(lines), dtype=np.int64) * BINS, runs)
-    value = value[inside]  # sums of characters by random factors: their high bits are random
+    value = _scrambled(value[inside])
     table = np.full(len(lines) * BINS, _NONE)
-    owner += (value >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
-    np.minimum.at(table, owner, (value << np.uint64(_BIN_BITS)) >> np.uint64(32))
+    owner += value >> np.uint32(32 - _BIN_BITS)
+    np.minimum.at(table, owner, value)
     table = table.reshape(-1, BINS)
-    empty, source = table == _NONE, table.copy()
+    empty, source = table == _NONE, table
+    table = table.astype(np.uint64)
     for step in range(1, BINS):
         if not empty.any():
             break
         lent = np.roll(source, -step, axis=1)
         take = empty & (lent != _NONE)
-        table[take] = lent[take] + np.uint64(step * int(_FACTOR[0]) & (1 << 64) - 1)
+        table[take] = lent[take] + np.uint64(step << 32)
         empty &= ~take
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
@@ -136,7 +148,7 @@ def _name(line: bytes) -> int:
 def _candidates(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """row_id, number, node, line and keys of each line that has a key in common with another. docs: row_id, _text."""
     total = text_bytes(docs, "_text")
-    sketch, chunks = Sketch.of(4 * total), max(1, -(-total // chunk_bytes))
+    sketch, chunks = Sketch.of(total, SHARD_BYTES, COUNTERS), max(1, -(-total // chunk_bytes))
     chunked = in_chunks(docs, chunk_bytes, "_text")
 
     def hashes(table: pa.Table) -> np.ndarray:

@@ -32,8 +32,8 @@ class Sketch:
     shards: int
 
     @staticmethod
-    def of(text_bytes: int, shard_bytes: int = SHARD_BYTES) -> Sketch:
-        return Sketch(max(16, (COUNTERS * max(1, text_bytes) - 1).bit_length()), max(1, -(-text_bytes // shard_bytes)))
+    def of(text_bytes: int, shard_bytes: int = SHARD_BYTES, counters: int = COUNTERS) -> Sketch:
+        return Sketch(max(16, (counters * max(1, text_bytes) - 1).bit_length()), max(1, -(-text_bytes // shard_bytes)))
 
     def cells(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
