@@ -126,8 +126,8 @@ def set_keys(shingles: np.ndarray, percent: int, plan: list[Band]) -> np.ndarray
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """A bitmap: which of its places are hit by an odd number of n-grams; a power of two from 256, four for each or more."""
-    places = 1 << max(8, (4 * len(shingles) - 1).bit_length())
+    """A bitmap: which of its places are hit by an odd number of n-grams; a power of two from 256, eight for each or more."""
+    places = 1 << max(8, (8 * len(shingles) - 1).bit_length())
     hits = np.bincount((mix(shingles) & np.uint64(places - 1)).astype(np.int64), minlength=places)
     return np.packbits(hits & 1, bitorder="little").tobytes()
 
@@ -305,7 +305,7 @@ def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, class
         bits = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("parities")]
         least = min(map(len, bits))
         rows = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in bits])
-        out, more = [], False
+        found, more = set(), False
         # two groups of a meeting always have a member outside the largest group
         _, back, times = np.unique(group, return_inverse=True, return_counts=True)
         for i in np.flatnonzero(back != np.argmax(times)).tolist():
@@ -316,10 +316,9 @@ def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, class
             near = np.flatnonzero(good)
             near = near[np.lexsort((node[near], unlike[near]))]
             apart = back[near] != back[i]
-            out += [(min(node[i], x), max(node[i], x)) for x in node[near[first:last][apart[first:last]]].tolist()]
+            found.update((min(own, x), max(own, x)) for own in (int(node[i]),) for x in node[near[first:last][apart[first:last]]].tolist())
             more |= bool(apart[last:].any())
-        if more:
-            out.append((None, table.column("meeting")[0].as_py()))
+        out = sorted(found) + [(None, table.column("meeting")[0].as_py())] * more
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     open_ = meetings.join(stars, "center", "left_semi")
@@ -368,9 +367,9 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
             more = written(_verified(_apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
             return _joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
 
-        for last in (2, 8):
-            groups, _ = settle(one, groups, 0, last)
-        first, last = 0, 8
+        for first, last in ((0, 1), (1, 3)):
+            groups, _ = settle(one, groups, first, last)
+        first, last = 0, 1
         while True:
             groups, further = settle(large, groups, first, last)
             if further.isEmpty():
