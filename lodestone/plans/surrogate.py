@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.operators import hybrid, ranking, segment, similarity
+from lodestone.plans.cut import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +69,10 @@ def paragraph_scores(scores_: DataFrame, passages_: DataFrame) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Ranked passages, queries, blocks and paragraph scores."""
-    p, q, s = passages(spark, sf_dir), queries(spark, sf_dir), scores(spark, sf_dir)
+    """Ranked passages, queries, blocks and paragraph scores.
+
+    Scores have three readers and ranked rows four, so both are cut off from the products that they come from.
+    """
+    p, q, s = passages(spark, sf_dir), queries(spark, sf_dir), cut(scores(spark, sf_dir))
     par = paragraph_scores(s, p)
-    return hybrid.excluded(ranking.rank_passages(q, p, s, par)), q, blocks(spark, sf_dir), par
+    return cut(hybrid.excluded(ranking.rank_passages(q, p, s, par))), q, blocks(spark, sf_dir), par
