@@ -31,7 +31,7 @@ PERCENT = 80
 BINS = 64
 ROWS = 7
 BANDS = 18
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Of the sketch: a line has few keys for its length, each of which may flag it by chance.
 SHARD_BYTES = 24 << 20
 COUNTERS = 16
@@ -63,7 +63,11 @@ _remembered = lru_cache(maxsize=512)(shingles)
 
 
 def similar(a: str, b: str, percent: int, size: int = SHINGLE) -> bool:
-    x, y = _remembered(a, size), _remembered(b, size)
+    a, b = sorted((a, b), key=len)
+    x = _remembered(b, size)
+    if 100 * max(1, len(a) - size + 1) < percent * len(x):  # the shorter line has too few runs, however they fall
+        return False
+    y = _remembered(a, size)
     common = len(x & y)
     return 100 * common >= percent * (len(x) + len(y) - common)
 
