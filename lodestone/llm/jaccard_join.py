@@ -126,8 +126,8 @@ def set_keys(shingles: np.ndarray, percent: int, plan: list[Band]) -> np.ndarray
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """A bitmap: which of its places are hit by an odd number of n-grams; a power of two from 256, eight for each or more."""
-    places = 1 << max(8, (8 * len(shingles) - 1).bit_length())
+    """A bitmap: which of its places are hit by an odd number of n-grams; a power of two from 256, four for each or more."""
+    places = 1 << max(8, (4 * len(shingles) - 1).bit_length())
     hits = np.bincount((mix(shingles) & np.uint64(places - 1)).astype(np.int64), minlength=places)
     return np.packbits(hits & 1, bitorder="little").tobytes()
 
@@ -281,11 +281,6 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return named.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
-def _undecided(pairs: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
-    """Centers of stars with an end in another component."""
-    return written(_apart(pairs, groups).select(F.col("a").alias("center")).distinct(), "centers", rows)
-
-
 def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
     """Of larger meetings whose members are in different components so far, pairs across that the bound allows.
 
@@ -360,9 +355,14 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
         # the largest meeting of each center first: it settles most of what the stars have left open
         one = written(large.groupBy("center").agg(F.max_by(F.struct("body", "meeting"), F.length("body")).alias("m")).select("center", "m.body", "m.meeting"), "largest", found)
 
+        # pairs with a center that are in different components; from round to round there are fewer
+        open_pairs = all_pairs
+
         def settle(meetings: DataFrame, groups: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
             """Components after a round, and the meetings that need another one."""
-            centers = _undecided(all_pairs, groups, found)
+            nonlocal open_pairs
+            open_pairs = written(_apart(open_pairs, groups), "open", work)
+            centers = open_pairs.select(F.col("a").alias("center")).distinct()
             left = written(_cross_pairs(meetings, centers, groups, classes, percent, first, last), "pairs", work)
             more = written(_verified(_apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
             return _joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
