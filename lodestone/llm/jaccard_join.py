@@ -281,12 +281,13 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return named.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
-def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
+def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, start: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
     """Of larger meetings whose members are in different components so far, pairs across that the bound allows.
 
     Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a null a
-    says that the meeting b has further ones. So a meeting never lists all its pairs, and each pair that matters has its turn.
-    meetings: center, body, meeting.
+    says that the meeting b has further ones. Members of the component that was the meeting's largest at the start, before
+    the round whose first is 0, list none: of a pair across, one end at least isn't one of them, and it is walked in every
+    round. So a meeting never lists all its pairs, and each pair that matters has its turn. meetings: center, body, meeting.
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +297,13 @@ def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, class
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array(found)], names=["meeting", "node"])
 
     def across(table: pa.Table) -> pa.Table:
-        node, group, size = (table.column(c).to_numpy() for c in ("node", "c", "n"))
+        node, group, before, size = (table.column(c).to_numpy() for c in ("node", "c", "c0", "n"))
         bits = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("parities")]
         least = min(map(len, bits))
         rows = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in bits])
         found, more = set(), False
-        # two groups of a meeting always have a member outside the largest group
-        _, back, times = np.unique(group, return_inverse=True, return_counts=True)
+        # who is walked doesn't change when components join between rounds
+        _, back, times = np.unique(before, return_inverse=True, return_counts=True)
         for i in np.flatnonzero(back != np.argmax(times)).tolist():
             unlike = np.bitwise_count(rows ^ rows[i]).sum(axis=1, dtype=np.int64)
             good = ((100 + percent) * unlike <= (100 - percent) * (size[i] + size)) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
@@ -310,7 +311,7 @@ def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, class
             # the order is the same in every round, whatever components have joined since
             near = np.flatnonzero(good)
             near = near[np.lexsort((node[near], unlike[near]))]
-            apart = back[near] != back[i]
+            apart = group[near] != group[i]
             found.update((min(own, x), max(own, x)) for own in (int(node[i]),) for x in node[near[first:last][apart[first:last]]].tolist())
             more |= bool(apart[last:].any())
         out = sorted(found) + [(None, table.column("meeting")[0].as_py())] * more
@@ -319,8 +320,9 @@ def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, class
     open_ = meetings.join(stars, "center", "left_semi")
     rows = open_.select("meeting", "body").mapInArrow(members, "meeting long, node long").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     several = rows.groupBy("meeting").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("meeting")
-    full = rows.join(several, "meeting", "left_semi").join(classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "parities"), "node")
-    return full.select("meeting", "node", "c", "n", "parities").groupBy("meeting").applyInArrow(across, "a long, b long").distinct()
+    began = start.select("node", F.col("component").alias("_c0"))
+    full = rows.join(several, "meeting", "left_semi").join(began, "node", "left").withColumn("c0", F.coalesce("_c0", "node")).join(classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "parities"), "node")
+    return full.select("meeting", "node", "c", "c0", "n", "parities").groupBy("meeting").applyInArrow(across, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -358,20 +360,20 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
         # pairs with a center that are in different components; from round to round there are fewer
         open_pairs = all_pairs
 
-        def settle(meetings: DataFrame, groups: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+        def settle(meetings: DataFrame, groups: DataFrame, start: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
             """Components after a round, and the meetings that need another one."""
             nonlocal open_pairs
             open_pairs = written(_apart(open_pairs, groups), "open", work)
             centers = open_pairs.select(F.col("a").alias("center")).distinct()
-            left = written(_cross_pairs(meetings, centers, groups, classes, percent, first, last), "pairs", work)
+            left = written(_cross_pairs(meetings, centers, groups, start, classes, percent, first, last), "pairs", work)
             more = written(_verified(_apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
             return _joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
 
         for first, last in ((0, 1), (1, 3)):
-            groups, _ = settle(one, groups, first, last)
-        first, last = 0, 1
+            groups, _ = settle(one, groups, groups, first, last)
+        start, first, last = groups, 0, 1
         while True:
-            groups, further = settle(large, groups, first, last)
+            groups, further = settle(large, groups, start, first, last)
             if further.isEmpty():
                 break
             large, first, last = large.join(further, "meeting", "left_semi"), last, 8 * last

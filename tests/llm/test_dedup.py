@@ -119,6 +119,48 @@ def test_jaccard_components(families, few, monkeypatch):
     assert sorted(found, key=str) == jaccard_expected(families.collect())
 
 
+def test_links_across_components_that_overtake_the_largest(spark, monkeypatch):
+    """One meeting: y is in its largest component until four groups of four join into a larger one, whose x links with y only
+    and has y at a late rank."""
+    n = 0
+
+    def swapped(base, out):
+        nonlocal n
+        n += len(out)
+        return (base - set(out)) | {f"{seed}w{n - k}" for k in range(len(out))}
+
+    def name(s):
+        data = " ".join(sorted(s)).encode()
+        (found,) = shingle_sets(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])), 1)
+        return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+    for seed in range(1000):
+        a = [f"{seed}a{k:03}" for k in range(100)]
+        center = set(a)
+        y = swapped(center, a[:12])
+        first = swapped(y, a[12:26])
+        x = (first - {min(first - y)}) | {a[12]}
+        groups = [[x] + [swapped(first, [a[k]]) for k in (30, 31, 32)]]
+        hub = swapped(first, a[40:45])
+        for g in range(3):
+            base = swapped(hub, a[50 + 5 * g : 55 + 5 * g])
+            groups.append([swapped(base, [a[k]]) for k in (70, 71, 72, 73)])
+        sets = [center, y, *(swapped(center, a[50 + 5 * k : 55 + 5 * k]) for k in range(6)), *(s for g in groups for s in g)]
+        if min(sets, key=name) == center:
+            break
+    docs = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "doc_id long, text string")
+
+    def one_meeting(classes, *_):
+        every = sorted(r["class"] for r in classes.select("class").collect())
+        pairs = np.array([(every[0], b) for b in every[1:]], np.int64)
+        return spark.createDataFrame([(0, 0, pairs.tobytes()), (1, every[0], np.array(every, np.int64).tobytes())], "kind int, center long, body binary")
+
+    monkeypatch.setattr(jaccard_join, "_meetings", one_meeting)
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, ngram=1).collect()]
+    assert sorted(found, key=str) == jaccard_expected(docs.collect(), 1)
+    assert {c for *_, c in found} == {0}
+
+
 def test_jaccard_of_awkward_and_real_texts(awkward, small, empty):
     for docs in (awkward, small):
         found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, chunk_bytes=50_000).collect()]
