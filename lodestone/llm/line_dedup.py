@@ -5,8 +5,9 @@
    many bands: two lines of the least similarity agree in a band with a probability of 0.98 and more.
 2. A sketch of all chunks (sketch.py) tells a chunk which of its band keys may occur elsewhere. Lines without such a key
    are like no other and go no further.
-3. Lines that share a key are paired with the smallest of them, so that a key of many lines makes no square of pairs. Each
-   pair's similarity is verified exactly.
+3. Lines that share a key are paired with the smallest of them. Where this leaves them in different components, the next
+   smallest follow as centers, round by round, until no key holds a pair across components that wasn't compared. Each pair's
+   similarity is verified exactly.
 4. Union-find joins links into components; of each component the first line stays.
 """
 
@@ -18,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,11 +177,8 @@ def _candidates(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return chunked.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(finish, kind)
 
 
-def _links(nodes: DataFrame, percent: int) -> DataFrame:
-    """Verified links of lines with the smallest line that shares a key. nodes: node, line, keys."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    pairs = keyed.join(least, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of lines that are similar. nodes: node, line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,13 +190,47 @@ def _links(nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
+def _undecided(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, node and c, the node's component so far, of keys whose nodes are in different components."""
+    named = keyed.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    return named.join(several, "key")
+
+
+def _groups(nodes: DataFrame, percent: int, lines: int) -> DataFrame:
+    """Components of lines, by verified links of those that share a key. nodes: node, line, keys.
+
+    In each round, the smallest nodes of a key are its centers and are held against all others of it in other components;
+    then they leave the key. It is done when those left are in one component, so each pair of a key is compared or joined.
+    """
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
+    others = keyed.join(least, "key").filter("a <> node")
+    pairs = others.select("a", F.col("node").alias("b")).distinct()
+    groups = written(components(written(_verified(pairs, nodes, percent), "links", 2 * lines), lines), "components", lines)
+    rest, centers = others.select("key", "node"), 1
+    while True:
+        rest = written(_undecided(rest, groups), "undecided")
+        if rest.isEmpty():
+            return groups
+        centers *= 4
+        ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+        ours = ranked.filter(F.col("rank") <= centers).select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
+        pairs = ours.join(rest, "key").filter("a < node AND ca <> c").select("a", F.col("node").alias("b")).distinct()
+        links = written(_verified(pairs, nodes, percent), "links", 2 * lines)
+        if not links.isEmpty():
+            stars = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            groups = written(components(stars.unionByName(links), lines), "components", lines)
+        rest = ranked.filter(F.col("rank") > centers).select("key", "node")
+
+
 def repeated_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id_, number (of the line in its text, from 0), component and stays, of each line that is like another one."""
     plain = docs.select(F.col(id_).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = written(_candidates(plain, chunk_bytes), "lines")
     lines = found.count()
     nodes = written(found.groupBy("node").agg(F.first("line").alias("line"), F.first("keys").alias("keys")), "nodes", 8 * lines)
-    groups = written(components(written(_links(nodes, percent), "links", 2 * lines), lines), "components", lines)
+    groups = _groups(nodes, percent, lines)
     named = found.select("row_id", "number", "node").join(groups, "node", "left").select("row_id", "number", F.coalesce("component", "node").alias("component"))
     named = written(named, "named", lines)
     first = named.groupBy("component").agg(F.min(F.struct("row_id", "number")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")

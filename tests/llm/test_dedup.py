@@ -258,6 +258,25 @@ def test_lines(spark, small, awkward, empty):
     assert line_dedup.remove_lines(empty).count() == 0
 
 
+def test_lines_unlike_the_smallest_of_their_keys(spark, monkeypatch):
+    """All lines share their keys, and the smallest line is unlike most others, which are in families."""
+    rng = np.random.default_rng(8)
+    lines = []
+    for _ in range(8):
+        base = "".join(rng.choice(list("abcdefgh"), 120))
+        lines += [base, base[:60] + "y" + base[61:], base[:119] + "z"]
+
+    def one_key(docs, _):
+        rows = [(i, 0, line_dedup._name(x.encode()), x, [1, 2]) for i, x in enumerate(lines)]
+        return spark.createDataFrame(rows, "row_id long, number int, node long, line string, keys array<long>")
+
+    monkeypatch.setattr(line_dedup, "_candidates", one_key)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = line_dedup.repeated_lines(docs).collect()
+    assert {(r["doc_id"], r["number"]) for r in found if not r["stays"]} == lines_expected(docs.collect())
+    assert len(found) == len(lines) and sum(not r["stays"] for r in found) == 16
+
+
 def test_bands_find_similar_lines():
     rng = np.random.default_rng(4)
     found = total = 0
