@@ -1,8 +1,8 @@
 """Operator 8: near-duplicate lines by MinHash over character shingles.
 
 1. A line's signature holds, for each of BINS parts of the hash space, the smallest hash of its shingles there; a part
-   without one borrows from the next. Bands are fixed choices of ROWS of the parts, and overlap, so that few parts make
-   many bands: two lines of the least similarity agree in a band with a probability of 0.98 and more.
+   without one asks the others, in an order of its own. Bands are fixed choices of ROWS of the parts and hardly overlap: two
+   lines of the least similarity agree in a band with a probability of 0.98 and more, as measured from 15 shingles on.
 2. A sketch of all chunks (sketch.py) tells a chunk which of its band keys may occur elsewhere. Lines without such a key
    are like no other and go no further.
 3. Lines that share a key are paired with the smallest of them. Where this leaves them in different components, the next
@@ -29,16 +29,18 @@ from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 
 SHINGLE = 5
 PERCENT = 80
-BINS = 64
+BINS = 128
 ROWS = 7
-BANDS = 18
+BANDS = 20
 CHUNK_BYTES = 6 << 20
 #: Of the sketch: a line has few keys for its length, each of which may flag it by chance.
 SHARD_BYTES = 24 << 20
 COUNTERS = 16
 
 _rng = np.random.default_rng(31)
-_CHOICE = np.stack([_rng.choice(BINS, ROWS, replace=False) for _ in range(BANDS)])
+_CHOICE = np.concatenate([_rng.permutation(BINS), _rng.permutation(BINS)])[: BANDS * ROWS].reshape(BANDS, ROWS)
+#: For each part, the order in which it asks all parts for a value if it has none.
+_ASKED = np.argsort(_rng.random((BINS, BINS)), axis=0)
 _FACTOR = _rng.integers(1 << 62, 1 << 63, max(ROWS, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BIN_BITS = BINS.bit_length() - 1
 _FACTOR32 = (_FACTOR >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
@@ -104,15 +106,16 @@ def band_keys(lines: list[bytes], size: int = SHINGLE) -> np.ndarray:
     owner += value >> np.uint32(32 - _BIN_BITS)
     np.minimum.at(table, owner, value)
     table = table.reshape(-1, BINS)
-    empty, source = table == _NONE, table
-    table = table.astype(np.uint64)
-    for step in range(1, BINS):
-        if not empty.any():
+    source = table.copy()
+    line, part = np.nonzero(table == _NONE)
+    for asked in _ASKED:
+        if not len(line):
             break
-        lent = np.roll(source, -step, axis=1)
-        take = empty & (lent != _NONE)
-        table[take] = lent[take] + np.uint64(step << 32)
-        empty &= ~take
+        lent = source[line, asked[part]]
+        take = lent != _NONE
+        table[line[take], part[take]] = lent[take]
+        line, part = line[~take], part[~take]
+    table = table.astype(np.uint64)
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
         keys += table[:, _CHOICE[:, r]] * _FACTOR[r]

@@ -291,3 +291,17 @@ def test_bands_find_similar_lines():
             x, y = line_dedup.band_keys([a.encode(), b.encode()])
             found += bool((x == y).any())
     assert total > 20 and found >= 0.95 * total
+
+
+@pytest.mark.parametrize("n", [27, 45, 90, 180])
+def test_bands_keep_their_promise_at_the_least_similarity(n):
+    """Lines of n shingles, of which eight ninths are in both."""
+    rng = np.random.default_rng(n)
+    k = n // 9
+    lines = []
+    for _ in range(2000):
+        text = "".join(map(chr, rng.integers(0x4E00, 0x9000, n + k + 4)))
+        lines += [text[:-k].encode(), text[k:].encode()]
+    assert line_dedup.similar(lines[0].decode(), lines[1].decode(), 80)
+    keys = line_dedup._keys(lines)
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.98
