@@ -103,7 +103,7 @@ def in_chunks(docs: DataFrame, chunk_bytes: int, text: str = "text") -> DataFram
     Rows without text count as empty ones. The number of chunks follows the input, so each stays as large as now.
     """
     n = max(1, -(-text_bytes(docs, text) // chunk_bytes))
-    chunk = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c in ("doc_id", text)]), F.lit(n)).cast("int")
+    chunk = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c in ("doc_id", "row_id", text)]), F.lit(n)).cast("int")
     return docs.withColumn("chunk", chunk).repartition(n, "chunk")
 
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, jaccard_join, line_dedup, substring_dedup
-from lodestone.llm.common import Words, shingle_sets
+from lodestone.llm.common import Words, in_chunks, shingle_sets
 from lodestone.llm.components import components
 from lodestone.llm.sketch import pack_sorted, unpack_sorted
 from tests_llm_helpers import Union, jaccard_expected, words
@@ -305,3 +305,9 @@ def test_bands_keep_their_promise_at_the_least_similarity(n):
     assert line_dedup.similar(lines[0].decode(), lines[1].decode(), 80)
     keys = line_dedup._keys(lines)
     assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.98
+
+
+def test_copies_are_dealt_to_several_chunks(spark):
+    for id_ in ("doc_id", "row_id"):
+        docs = spark.createDataFrame([(i, "the same text") for i in range(40)], f"{id_} long, _text string")
+        assert in_chunks(docs, 100, "_text").select("chunk").distinct().count() > 2
