@@ -1,12 +1,13 @@
 """Shared by the corpus operators: tables in the shared folder, and words and hashes of whole Arrow batches of texts.
 
-Texts are handled as the UTF-8 bytes of an Arrow column. A word's hash is 64 bits of a polynomial with a random value
-for each byte; a sequence of words hashes from its words. Sequences are taken for equal when these hashes are equal.
+Texts are handled as the UTF-8 bytes of an Arrow column. A word's hash takes eight bytes at a time, each time through a
+step that isn't linear; a run of words hashes as a tree of its halves. Both have two forms, with constants of their own.
 """
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,11 @@ SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only on one machine, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
@@ -103,7 +106,7 @@ def in_chunks(docs: DataFrame, chunk_bytes: int, text: str = "text") -> DataFram
     Rows without text count as empty ones. The number of chunks follows the input, so each stays as large as now.
     """
     n = max(1, -(-text_bytes(docs, text) // chunk_bytes))
-    chunk = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c in ("doc_id", "row_id", text)]), F.lit(n)).cast("int")
+    chunk = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(n)).cast("int")
     return docs.withColumn("chunk", chunk).repartition(n, "chunk")
 
 
@@ -142,16 +145,15 @@ def binary(parts: list[bytes]) -> pa.Array:
 
 # ---------------------------------------------------------------- hashes
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1 << 61, 1 << 63)) | 1
-_STEP = _rng.integers(1 << 61, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd factors, two sets of three: of a word's first bytes, of its further ones, and of the runs' left halves.
+_FACTORS = [[int(x) * 2 + 1 for x in row] for row in np.random.default_rng(20240607).integers(1 << 61, 1 << 63, (2, 3))]
+#: Longer words hash by a digest.
+_LONG = 64
 #: Blank and the control characters from tab to carriage return; anything else belongs to a word.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, list[np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -161,29 +163,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 12)
-        rows = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, b, np.uint64)
-            row[0] = 1
-            rows.append(np.cumprod(row, dtype=np.uint64))
-        have = rows
-        if size <= 4 * SLICE_BYTES:
-            _powers[base] = rows
-    return have[0], have[1]
-
-
-def ranged(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The polynomial hashes of values[start:end]; wrapping arithmetic makes them the same wherever the values stand."""
-    up, down = powers(base, len(values) + 1)
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
-    return (total[end] - total[start]) * down[start]
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """Scrambles 64 bits reversibly, in place."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, form: int = 0) -> np.ndarray:
+    """Hashes of the words data[start:end], wherever they stand."""
+    first, further, _ = (np.uint64(f) for f in _FACTORS[form])
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", wide.data, strides=(1,))
+    size = end - start
+    unused = lambda n: np.uint64(8) * (np.uint64(8) - np.minimum(n, 8).astype(np.uint64))
+    out = _scrambled((eight[start] << unused(size)) * first + size.astype(np.uint64) * further)
+    live, at = np.flatnonzero(size > 8), 8
+    while len(live) and at < _LONG:
+        rest = size[live] - at
+        out[live] = _scrambled(out[live] * first + _scrambled((eight[start[live] + at] << unused(rest)) * further))
+        live, at = live[rest > 8], at + 8
+    for i in live.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([form])).digest(), "little")
+    return out
 
 
 class Words:
@@ -195,40 +199,88 @@ class Words:
             data = _LOWER[data]
         self.data, self.at = data, at
         blank = SPACE[data]
-        edge = np.zeros(len(data) + 1, bool)
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:] = blank
+        edge[at] = True
+        self.start = np.flatnonzero(~blank & edge[:-1])
+        edge[:-1] = blank
         edge[at] = True
-        before = np.empty(len(data), bool)
-        before[:1] = True
-        before[1:] = blank[:-1]
-        self.start = np.flatnonzero(~blank & (before | edge[:-1]))
-        after = np.empty(len(data), bool)
-        after[-1:] = True
-        after[:-1] = blank[1:]
-        self.end = np.flatnonzero(~blank & (after | edge[1:])) + 1
-        self.hash = mix(ranged(_BYTE[data], _BASE, self.start, self.end) + (self.end - self.start).astype(np.uint64) * _STEP[7])
+        self.end = np.flatnonzero(~blank & edge[1:]) + 1
         #: The first word of each text, and the number of all at the end.
         self.first = np.searchsorted(self.start, at)
+        self._hash: dict[int, np.ndarray] = {}
+
+    def hashes(self, form: int = 0) -> np.ndarray:
+        if form not in self._hash:
+            self._hash[form] = word_hashes(self.data, self.start, self.end, form)
+        return self._hash[form]
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.hashes()
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def runs(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """First words of all runs of that many words within a text, and the runs' hashes."""
+    def starts(self, size: int) -> np.ndarray:
+        """First words of all runs of that many words within a text."""
         n = np.maximum(self.counts() - (size - 1), 0)
-        start = np.repeat(self.first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        base = int(_STEP[seed % 7]) * 2 + 1 & (1 << 64) - 1
-        return start, mix(ranged(self.hash, base, start, start + size) + np.uint64(size))
+        return np.repeat(self.first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+
+    def runs(self, size: int, form: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """starts(), and the runs' hashes."""
+        start = self.starts(size)
+        if not len(start):
+            return start, np.empty(0, np.uint64)
+        return start, _run_hashes(self.hashes(form), size, form)[start]
+
+    def wholes(self, texts: np.ndarray, form: int = 0) -> np.ndarray:
+        """Hashes of all words of each of some texts, which have one at least."""
+        out, counts, first = np.empty(len(texts), np.uint64), self.counts()[texts], self.first[:-1][texts]
+        for n in np.unique(counts).tolist():
+            at = np.flatnonzero(counts == n)
+            value = self.hashes(form)[first[at]]
+            for k in range(1, n):
+                value = _pair(value, self.hashes(form)[first[at] + k], form)
+            out[at] = mix(value + np.uint64(n))
+        return out
+
+
+def _pair(left: np.ndarray, right: np.ndarray, form: int) -> np.ndarray:
+    return _scrambled(left * np.uint64(_FACTORS[form][2]) + right)
+
+
+def _run_hashes(words: np.ndarray, size: int, form: int) -> np.ndarray:
+    """The hash of the run of size words from each word on: of its parts of 1, 2, 4 and so on words, as size has them."""
+    part, done, out = words, 0, None
+    for bit in range(size.bit_length()):
+        if bit:
+            half = 1 << bit - 1
+            part = _pair(part[:-half], part[half:], form)
+        if size >> bit & 1:
+            here = part[done : done + len(words) - size + 1]
+            out = here if out is None else _pair(out[: len(here)], here, form)
+            done += 1 << bit
+    return out
 
 
-def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
-    """Of each text the sorted distinct hashes of its runs of that many words, or of all its words if it has fewer."""
+def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's runs of that many words, or of all its words if it has fewer; and where each
+    text's begin, which are sorted."""
     start, hashes = words.runs(size)
-    bounds = np.searchsorted(start, words.first)
-    short = np.flatnonzero((words.counts() < size) & (words.counts() > 0))
-    base = int(_STEP[0]) * 2 + 1 & (1 << 64) - 1
-    whole = mix(ranged(words.hash, base, words.first[short], words.first[short + 1]) + words.counts()[short].astype(np.uint64))
-    few = dict(zip(short.tolist(), whole, strict=True))
-    out = []
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        out.append(np.unique(hashes[a:b]) if b > a else np.array([few[i]], np.uint64) if i in few else np.empty(0, np.uint64))
-    return out
+    counts = words.counts()
+    short = np.flatnonzero((counts < size) & (counts > 0))
+    n = np.maximum(counts - (size - 1), 0)
+    n[short] = 1
+    at = np.concatenate(([0], np.cumsum(n)))
+    every = np.empty(at[-1], np.uint64)
+    alone = np.zeros(at[-1], bool)
+    alone[at[short]] = True
+    every[alone], every[~alone] = words.wholes(short), hashes
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a > 1:
+            every[a:b].sort()
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    new[at[:-1][n > 0]] = True
+    return every[new], np.concatenate(([0], np.cumsum(new)))[at]

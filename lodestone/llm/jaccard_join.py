@@ -149,27 +149,35 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 # ---------------------------------------------------------------- steps
 
 
+def _name(shingles: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles, digest_size=8).digest(), "little", signed=True)
+
+
 def _sets(docs: DataFrame, ngram: int, percent: int, id_: str, text: str, chunk_bytes: int) -> DataFrame:
     """id_, n_shingles, and of documents that may link with another their class and their sorted n-grams."""
     total = text_bytes(docs, text)
     sketch, chunks = Sketch.of(total), max(1, -(-total // chunk_bytes))
     chunked = in_chunks(docs.select(F.col(id_).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), chunk_bytes, "_text")
 
-    def sets(table: pa.Table) -> list[np.ndarray]:
+    def words(table: pa.Table) -> Iterator[Words]:
         data, at = buffers(table.column("_text"))
-        return [s for i, j in slices(at) for s in shingle_sets(Words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True), ngram)]
+        return (Words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True) for i, j in slices(at))
 
     def hashes(table: pa.Table) -> np.ndarray:
-        return np.concatenate([*sets(table), np.empty(0, np.uint64)])
+        every = [np.empty(0, np.uint64)]
+        for w in words(table):
+            every += [w.runs(ngram)[1], w.wholes(np.flatnonzero((w.counts() < ngram) & (w.counts() > 0)))]
+        return np.concatenate(every)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found = sets(table)
-        sizes = [len(s) for s in found]
-        ends = np.cumsum(sizes)
-        often = np.concatenate(([0], np.cumsum(repeated(np.concatenate([*found, np.empty(0, np.uint64)]), sketch, answers))))
-        may = [n > 0 and 100 * (often[e] - often[e - n]) >= percent * n for n, e in zip(sizes, ends.tolist(), strict=True)]
-        bodies = [s.tobytes() if m else None for s, m in zip(found, may, strict=True)]
-        names = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) if x is not None else None for x in bodies]
+        found = [shingle_sets(w, ngram) for w in words(table)]
+        every = np.concatenate([x for x, _ in found])
+        sizes = np.concatenate([np.diff(at) for _, at in found])
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        often = np.concatenate(([0], np.cumsum(repeated(every, sketch, answers))))[at]
+        may = (sizes > 0) & (100 * np.diff(often) >= percent * sizes)
+        bodies = [every[a:b].tobytes() if m else None for a, b, m in zip(at[:-1].tolist(), at[1:].tolist(), may.tolist(), strict=True)]
+        names = [_name(x) if x is not None else None for x in bodies]
         return pa.table([table.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "n_shingles", "class", "shingles"])
 
     said = seen_elsewhere(chunked, hashes, sketch).repartition(chunks, "chunk")
@@ -333,11 +341,11 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     100 * intersection >= percent * union. component_id is the smallest id that links reach, the document's own included.
     A text that is null, empty or without words has an empty set and no link. Repeated rows link with each other. A row
     without id links like others but names no component; a component of such rows alone has none. An empty table gives an
-    empty result; other columns are not read. Sets are compared by 64-bit hashes of their n-grams.
+    empty result; other columns are not read. An n-gram stands as 64 bits of its words' hashes.
     """
     sets = written(_sets(docs, ngram, percent, id_, text, chunk_bytes), "sets")
     documents = sets.count()
-    classes = written(_classes(sets), "classes", 20 * documents)
+    sets, classes = _classes(sets, documents)
     found, largest, total = classes.agg(F.count(F.lit(1)), F.max("n_shingles"), F.sum("n_shingles")).first()
     plain = sets.select(F.col("doc_id").alias(id_), "n_shingles", "class")
     if not found:
@@ -357,14 +365,11 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
         # the largest meeting of each center first: it settles most of what the stars have left open
         one = written(large.groupBy("center").agg(F.max_by(F.struct("body", "meeting"), F.length("body")).alias("m")).select("center", "m.body", "m.meeting"), "largest", found)
 
-        # pairs with a center that are in different components; from round to round there are fewer
-        open_pairs = all_pairs
+        # a meeting whose members have all joined its center needs no look
+        centers = written(_apart(all_pairs, groups).select(F.col("a").alias("center")).distinct(), "centers", work)
 
         def settle(meetings: DataFrame, groups: DataFrame, start: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
             """Components after a round, and the meetings that need another one."""
-            nonlocal open_pairs
-            open_pairs = written(_apart(open_pairs, groups), "open", work)
-            centers = open_pairs.select(F.col("a").alias("center")).distinct()
             left = written(_cross_pairs(meetings, centers, groups, start, classes, percent, first, last), "pairs", work)
             more = written(_verified(_apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
             return _joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
@@ -384,16 +389,27 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     return named.join(least, "_c", "left").select(id_, "n_shingles", F.when(F.col("_c").isNull(), F.col(id_)).otherwise(F.col("_least")).alias("component_id"), "class")
 
 
-def _classes(sets: DataFrame) -> DataFrame:
-    """class, n_shingles, shingles and parities of each distinct set that may link with another."""
+def _classes(sets: DataFrame, documents: int) -> tuple[DataFrame, DataFrame]:
+    """sets, and class, n_shingles, shingles and parities of each distinct set that may link with another.
+
+    Sets are compared themselves: unlike ones whose digests are alike get other names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [parities(np.frombuffer(b.as_py(), np.uint64)) for b in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], names=["class", "n_shingles", "shingles", "parities"])
-
-    one = sets.filter("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
-    return one.mapInArrow(run, "class long, n_shingles long, shingles binary, parities binary")
+            bodies = [np.frombuffer(b.as_py(), np.uint64) for b in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([len(b) for b in bodies], pa.int64()), batch.column("shingles"), pa.array([parities(b) for b in bodies], pa.binary())], names=["class", "n_shingles", "shingles", "parities"])
+
+    tries = 0
+    while True:
+        distinct = sets.filter("class is not null").select("class", "shingles").distinct()
+        classes = written(distinct.mapInArrow(run, "class long, n_shingles long, shingles binary, parities binary"), "classes", 20 * documents)
+        alike = classes.groupBy("class").count().filter("count > 1").select(F.col("class").alias("_alike"))
+        if alike.isEmpty():
+            return sets, classes
+        tries += 1
+        name = F.when(F.col("_alike").isNull(), F.col("class")).otherwise(F.xxhash64("shingles", F.lit(tries)))
+        sets = written(sets.join(alike, F.col("class") == F.col("_alike"), "left").withColumn("class", name).drop("_alike"), "sets")
 
 
 def _joined(groups: DataFrame, edges: DataFrame, rows: int) -> DataFrame:

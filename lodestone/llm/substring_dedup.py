@@ -8,6 +8,7 @@ that the sketch doesn't find has no second occurrence, so none is lost. The word
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,14 @@ WINDOW = 35
 CHUNK_BYTES = 4 << 20
 
 
-def _windows(table: pa.Table, size: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
-    """The hashes of all windows of a chunk, in order, one array for each seed."""
+def _words(table: pa.Table) -> Iterator[Words]:
     data, at = buffers(table.column("_text"))
-    out: list[list[np.ndarray]] = [[] for _ in seeds]
-    for i, j in slices(at):
-        words = Words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        for k, seed in enumerate(seeds):
-            out[k].append(words.runs(size, seed)[1])
-    return [np.concatenate([*x, np.empty(0, np.uint64)]) for x in out]
+    return (Words(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at))
+
+
+def _windows(table: pa.Table, size: int, form: int = 0) -> np.ndarray:
+    """The hashes of all windows of a chunk, in order."""
+    return np.concatenate([*(w.runs(size, form)[1] for w in _words(table)), np.empty(0, np.uint64)])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, texts: bool = False) -> DataFrame:
@@ -48,41 +48,36 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_: str = "doc_id", t
     kind = docs.schema[id_].dataType
     out = T.StructType([T.StructField(id_, kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * texts)
 
-    def all_windows(table: pa.Table) -> np.ndarray:
-        return _windows(table, window, (0,))[0]
-
-    def flagged(table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        first, second = _windows(table, window, (0, 1))
+    def flagged(table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which windows the sketch has left, and their two hashes."""
+        first = _windows(table, window)
         at = repeated(first, sketch, answers)
-        return first[at], second[at]
+        first = first[at]
+        return at, first, _windows(table, window, 1)[at]
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        first, second = _windows(table, window, (0, 1))
-        found = repeated(first, sketch, answers)
-        found[found] = exactly_repeated(first[found], second[found], sketch, answers)
-        data, at = buffers(table.column("_text"))
+        found, *hashes = flagged(table, answers)
+        found[found] = exactly_repeated(*hashes, sketch, answers)
+        del hashes
         columns: list[list] = [[], [], [], []]
         done = 0
-        for i, j in slices(at):
-            part = data[at[i] : at[j]]
-            words = Words(part, at[i : j + 1] - at[i])
-            start = words.runs(window)[0]
+        for words in _words(table):
+            start = words.starts(window)
             hit = start[found[done : done + len(start)]]
             done += len(start)
             change = np.bincount(hit, minlength=len(words.start) + 1)[: len(words.start) + 1] - np.bincount(hit + window, minlength=len(words.start) + 1)[: len(words.start) + 1]
             gone = np.cumsum(change)[:-1] > 0
-            for d in range(j - i):
-                a, b = words.first[d], words.first[d + 1]
-                kept = _joined(part, words.start[a:b], words.end[a:b], gone[a:b])
-                columns[0].append(int(b - a))
+            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                kept = _joined(words.data, words.start[a:b], words.end[a:b], gone[a:b])
+                columns[0].append(b - a)
                 columns[1].append(int(gone[a:b].sum()))
                 columns[2].append(hashlib.sha256(kept).hexdigest())
                 columns[3].append(kept.decode() if texts else None)
         arrays = [table.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())]
         return pa.table(arrays + [pa.array(columns[3], pa.string())] * texts, names=out.names)
 
-    said = seen_elsewhere(chunked, all_windows, sketch)
-    exact = exactly_elsewhere(chunked, said, flagged, sketch, chunks)
+    said = seen_elsewhere(chunked, lambda table: _windows(table, window), sketch)
+    exact = exactly_elsewhere(chunked, said, lambda table, answers: flagged(table, answers)[1:], sketch, chunks)
     answers = said.unionByName(exact).repartition(chunks, "chunk")
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, out)
 

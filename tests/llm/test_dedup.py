@@ -31,7 +31,8 @@ def test_words_are_those_of_the_pattern(texts):
 def test_shingles_are_equal_exactly_if_their_words_are(texts):
     data = [t.encode() for t in texts]
     at = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
-    sets = shingle_sets(Words(np.frombuffer(b"".join(data), np.uint8), at), 3)
+    every, begin = shingle_sets(Words(np.frombuffer(b"".join(data), np.uint8), at), 3)
+    sets = [every[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
     names = {}
     for t, s in zip(texts, sets, strict=True):
         w = words(t)
@@ -42,6 +43,23 @@ def test_shingles_are_equal_exactly_if_their_words_are(texts):
         names[frozenset(exact)] = s
 
 
+def thue_morse(letters, n):
+    return "".join(letters[bin(k).count("1") & 1] for k in range(n))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sampled_from([8, 32, 64, 1024, 4096]), st.integers(1, 40), st.integers(0, 1))
+def test_unlike_words_and_runs_hash_unlike(n, size, form):
+    """Words of the Thue-Morse sequence and its complement are equal to any polynomial modulo a power of two."""
+    one, two = thue_morse("ab", n), thue_morse("ba", n)
+    texts = [one, two, one + " x", "x " + one, *(f"{one[:k]} {one[k:]}" for k in (1, n // 2)), thue_morse(["p ", "q "], n), thue_morse(["q ", "p "], n)]
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    found = Words(np.frombuffer("".join(texts).encode(), np.uint8), at)
+    plain = [words(t) for t in texts]
+    assert len({*found.hashes(form).tolist()}) == len({w for t in plain for w in t})
+    assert len({*found.runs(size, form)[1].tolist()}) == len({tuple(t[i : i + size]) for t in plain for i in range(len(t) - size + 1)})
+
+
 @given(st.lists(st.integers(0, 1 << 40), max_size=50, unique=True))
 def test_sorted_numbers_survive(values):
     array = np.array(sorted(values), np.int64)
@@ -119,6 +137,20 @@ def test_jaccard_components(families, few, monkeypatch):
     assert sorted(found, key=str) == jaccard_expected(families.collect())
 
 
+def test_unlike_sets_with_one_name_stay_apart(families, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_name", lambda shingles: len(shingles) % 5)
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(families, chunk_bytes=20_000).collect()]
+    assert sorted(found, key=str) == jaccard_expected(families.collect())
+
+
+def test_words_of_a_polynomials_collision_are_unlike(spark):
+    tail = " ".join(f"w{k}" for k in range(34))
+    one, two = thue_morse("ab", 4096), thue_morse("ba", 4096)
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, one), (4, two), (5, two)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == dict.fromkeys(range(1, 6), 0)
+
+
 def test_links_across_components_that_overtake_the_largest(spark, monkeypatch):
     """One meeting: y is in its largest component until four groups of four join into a larger one, whose x links with y only
     and has y at a late rank."""
@@ -131,7 +163,7 @@ def test_links_across_components_that_overtake_the_largest(spark, monkeypatch):
 
     def name(s):
         data = " ".join(sorted(s)).encode()
-        (found,) = shingle_sets(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])), 1)
+        found, _ = shingle_sets(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])), 1)
         return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
     for seed in range(1000):
