@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Words, buffers, fresh, in_chunks, mix, shingle_sets, slices, text_bytes, written
+from lodestone.llm.common import Words, buffers, distinct, distinct_pairs, fresh, in_chunks, mix, shingle_sets, slices, text_bytes, written
 from lodestone.llm.components import components
 from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 
@@ -122,7 +122,7 @@ def set_keys(shingles: np.ndarray, percent: int, plan: list[Band]) -> np.ndarray
     """All keys of a set: of its own band, and of those whose smaller partners it may be."""
     n = len(shingles)
     found = [b.keys(shingles, k) for k, b in enumerate(plan) if b.least <= n <= b.hi and b.needs > 1]
-    return np.unique(np.concatenate([*found, np.empty(0, np.uint64)]))
+    return distinct(np.concatenate([*found, np.empty(0, np.uint64)]))
 
 
 def parities(shingles: np.ndarray) -> bytes:
@@ -204,7 +204,7 @@ def _meetings(classes: DataFrame, percent: int, largest: int, shards: int) -> Da
                 cut = np.append(np.searchsorted(keys, np.array([(k << 64) // shards for k in range(shards)], np.uint64)), len(keys))
                 rows = [(k, slice(cut[k], cut[k + 1])) for k in range(shards) if cut[k + 1] > cut[k]]
                 owners = names[i : i + 512]
-                used = [np.unique(owner[at]) for _, at in rows]
+                used = [distinct(owner[at]) for _, at in rows]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in rows], pa.int32()), pa.array([owners[u].tobytes() for u in used], pa.binary()), pa.array([np.searchsorted(u, owner[at]).astype("<u2").tobytes() for u, (_, at) in zip(used, rows, strict=True)], pa.binary()), pa.array([keys[at].tobytes() for _, at in rows], pa.binary())],
                     names=["shard", "names", "owners", "keys"],
@@ -223,11 +223,11 @@ def _meetings(classes: DataFrame, percent: int, largest: int, shards: int) -> Da
             groups = names[new[size == n][:, None] + np.arange(n)]
             if n <= FEW:
                 x, y = np.triu_indices(n, 1)
-                pairs.append(np.unique(np.column_stack([groups[:, x].ravel(), groups[:, y].ravel()]), axis=0))
+                pairs.append(distinct_pairs(np.column_stack([groups[:, x].ravel(), groups[:, y].ravel()])))
             else:
                 large |= {g.tobytes(): int(g[0]) for g in groups}
-                pairs.append(np.unique(np.column_stack([np.repeat(groups[:, 0], n - 1), groups[:, 1:].ravel()]), axis=0))
-        every = np.unique(np.concatenate(pairs), axis=0)
+                pairs.append(distinct_pairs(np.column_stack([np.repeat(groups[:, 0], n - 1), groups[:, 1:].ravel()])))
+        every = distinct_pairs(np.concatenate(pairs))
         return pa.table([pa.array([0] + [1] * len(large), pa.int32()), pa.array([0, *large.values()], pa.int64()), pa.array([every.tobytes(), *large], pa.binary())], names=["kind", "center", "body"])
 
     sent = classes.select("class", "shingles").mapInArrow(send, "shard int, names binary, owners binary, keys binary")
@@ -248,7 +248,7 @@ def _distinct_pairs(met: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([pairs[order[cut[k] : cut[k + 1]]].tobytes() for k in rows], pa.binary())], names=["part", "body"])
 
     def merge(table: pa.Table) -> pa.Table:
-        every = np.unique(np.concatenate([np.frombuffer(b.as_py(), np.int64).reshape(-1, 2) for b in table.column("body")]), axis=0)
+        every = distinct_pairs(np.concatenate([np.frombuffer(b.as_py(), np.int64).reshape(-1, 2) for b in table.column("body")]))
         return pa.table([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
 
     dealt = met.filter("kind = 0").select("body").mapInArrow(deal, "part int, body binary")

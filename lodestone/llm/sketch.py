@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import distinct
+
 #: Counters for each byte of text, and bytes of text whose counters a shard holds.
 COUNTERS = 2
 SHARD_BYTES = 8 << 20
@@ -77,13 +79,13 @@ def seen_elsewhere(chunked: DataFrame, hashes: Hashes, sketch: Sketch) -> DataFr
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        cells, bounds = np.unique(sketch.cells(hashes(table))), sketch.bounds()
+        cells, bounds = distinct(sketch.cells(hashes(table))), sketch.bounds()
         return _table([(k, chunk, 0, pack_sorted(cells[at] - bounds[k])) for k, at in by_shard(cells, bounds)])
 
     def merge(table: pa.Table) -> pa.Table:
         lists = [unpack_sorted(b.as_py()) for b in table.column("body")]
         every = np.sort(np.concatenate(lists))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        twice = distinct(every[1:][every[1:] == every[:-1]])
         return _answers(table, [_among(x, twice) for x in lists], 1)
 
     sent = chunked.groupBy("chunk").applyInArrow(send, SENT)
