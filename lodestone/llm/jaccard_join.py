@@ -282,28 +282,35 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components so far."""
     one, two = (groups.select(F.col("node").alias(side), F.col("component").alias(to)) for side, to in (("a", "_ca"), ("b", "_cb")))
     named = pairs.join(one, "a", "left").join(two, "b", "left")
     return named.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
-def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, start: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
+def members(meetings: DataFrame) -> DataFrame:
+    """meeting and node, from meeting and body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.frombuffer(body, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array(found)], names=["meeting", "node"])
+
+    return meetings.select("meeting", "body").mapInArrow(run, "meeting long, node long")
+
+
+def cross_pairs(met: DataFrame, groups: DataFrame, start: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
     """Of larger meetings whose members are in different components so far, pairs across that the bound allows.
 
     Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a null a
     says that the meeting b has further ones. Members of the component that was the meeting's largest at the start, before
     the round whose first is 0, list none: of a pair across, one end at least isn't one of them, and it is walked in every
-    round. So a meeting never lists all its pairs, and each pair that matters has its turn. meetings: center, body, meeting.
+    round. So a meeting never lists all its pairs, and each pair that matters has its turn. met: meeting, node; classes: class,
+    n_shingles, parities.
     """
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.frombuffer(body, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array(found)], names=["meeting", "node"])
-
     def across(table: pa.Table) -> pa.Table:
         node, group, before, size = (table.column(c).to_numpy() for c in ("node", "c", "c0", "n"))
         bits = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("parities")]
@@ -325,8 +332,7 @@ def _cross_pairs(meetings: DataFrame, stars: DataFrame, groups: DataFrame, start
         out = sorted(found) + [(None, table.column("meeting")[0].as_py())] * more
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    open_ = meetings.join(stars, "center", "left_semi")
-    rows = open_.select("meeting", "body").mapInArrow(members, "meeting long, node long").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    rows = met.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     several = rows.groupBy("meeting").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("meeting")
     began = start.select("node", F.col("component").alias("_c0"))
     full = rows.join(several, "meeting", "left_semi").join(began, "node", "left").withColumn("c0", F.coalesce("_c0", "node")).join(classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "parities"), "node")
@@ -358,21 +364,21 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     # each set is first verified against the smallest it may link with; what that leaves apart follows
     edges = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, percent), "edges", work)
     groups = written(components(edges, found), "components", found)
-    more = written(_verified(_apart(pairs, groups), classes, percent), "edges", work)
-    groups = _joined(groups, more, found)
+    more = written(_verified(apart(pairs, groups), classes, percent), "edges", work)
+    groups = joined(groups, more, found)
     large = met.filter("kind = 1").select("center", "body", F.xxhash64("body").alias("meeting")).dropDuplicates(["meeting"])
     if not large.isEmpty():
         # the largest meeting of each center first: it settles most of what the stars have left open
         one = written(large.groupBy("center").agg(F.max_by(F.struct("body", "meeting"), F.length("body")).alias("m")).select("center", "m.body", "m.meeting"), "largest", found)
 
         # a meeting whose members have all joined its center needs no look
-        centers = written(_apart(all_pairs, groups).select(F.col("a").alias("center")).distinct(), "centers", work)
+        centers = written(apart(all_pairs, groups).select(F.col("a").alias("center")).distinct(), "centers", work)
 
         def settle(meetings: DataFrame, groups: DataFrame, start: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
             """Components after a round, and the meetings that need another one."""
-            left = written(_cross_pairs(meetings, centers, groups, start, classes, percent, first, last), "pairs", work)
-            more = written(_verified(_apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
-            return _joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
+            left = written(cross_pairs(members(meetings.join(centers, "center", "left_semi")), groups, start, classes, percent, first, last), "pairs", work)
+            more = written(_verified(apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
+            return joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
 
         for first, last in ((0, 1), (1, 3)):
             groups, _ = settle(one, groups, groups, first, last)
@@ -412,7 +418,7 @@ def _classes(sets: DataFrame, documents: int) -> tuple[DataFrame, DataFrame]:
         sets = written(sets.join(alike, F.col("class") == F.col("_alike"), "left").withColumn("class", name).drop("_alike"), "sets")
 
 
-def _joined(groups: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+def joined(groups: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
     """Components after more links."""
     if edges.isEmpty():
         return groups

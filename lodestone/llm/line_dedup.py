@@ -5,9 +5,8 @@
    lines of the least similarity agree in a band with a probability of 0.98 and more, as measured from 15 shingles on.
 2. A sketch of all chunks (sketch.py) tells a chunk which of its band keys may occur elsewhere. Lines without such a key
    are like no other and go no further.
-3. Lines that share a key are paired with the smallest of them. Where this leaves them in different components, the next
-   smallest follow as centers, round by round, until no key holds a pair across components that wasn't compared. Each pair's
-   similarity is verified exactly.
+3. Lines that share a key are held against the smallest of them. Keys whose lines this leaves in different components are
+   walked until no pair across is left that an exact bound allows. Each pair's similarity is verified exactly.
 4. Union-find joins links into components; of each component the first line stays.
 """
 
@@ -19,12 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import SLICE_BYTES, in_chunks, mix, text_bytes, written
+from lodestone.llm.common import distinct as distinct_values
 from lodestone.llm.components import components
+from lodestone.llm.jaccard_join import apart, cross_pairs, joined, may_link, parities
 from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 
 SHINGLE = 5
@@ -154,7 +155,7 @@ def _name(line: bytes) -> int:
 
 
 def _candidates(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """row_id, number, node, line and keys of each line that has a key in common with another. docs: row_id, _text."""
+    """row_id, number and node of each line that has a key in common with another, once with line and keys. docs: row_id, _text."""
     total = text_bytes(docs, "_text")
     sketch, chunks = Sketch.of(total, SHARD_BYTES, COUNTERS), max(1, -(-total // chunk_bytes))
     chunked = in_chunks(docs, chunk_bytes, "_text")
@@ -169,9 +170,12 @@ def _candidates(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         often = repeated(keys.ravel(), sketch, answers).reshape(keys.shape)
         place = {line: k for k, line in enumerate(distinct)}
         times = np.bincount([place[line] for line in found], minlength=len(distinct))
-        kept = [(r, n, line, place[line]) for r, n, line in zip(rows, numbers, found, strict=True) if times[place[line]] > 1 or often[place[line]].any()]
+        kept = [(r, n, place[line]) for r, n, line in zip(rows, numbers, found, strict=True) if times[place[line]] > 1 or often[place[line]].any()]
+        first = {k: i for i, (*_, k) in reversed(list(enumerate(kept)))}  # equal lines of a chunk send their text and keys once
+        once = [first[k] == i for i, (*_, k) in enumerate(kept)]
         return pa.table(
-            [table.column("row_id").take(pa.array([r for r, *_ in kept], pa.int64())), pa.array([n for _, n, *_ in kept], pa.int32()), pa.array([_name(line) for *_, line, _ in kept], pa.int64()), pa.array([line.decode() for *_, line, _ in kept], pa.string()), pa.array([keys[k][often[k]].astype(np.int64) for *_, k in kept], pa.list_(pa.int64()))],
+            [table.column("row_id").take(pa.array([r for r, *_ in kept], pa.int64())), pa.array([n for _, n, _ in kept], pa.int32()), pa.array([_name(distinct[k]) for *_, k in kept], pa.int64())]
+            + [pa.array([distinct[k].decode() if o else None for o, (*_, k) in zip(once, kept, strict=True)], pa.string()), pa.array([keys[k][often[k]].astype(np.int64) if o else None for o, (*_, k) in zip(once, kept, strict=True)], pa.list_(pa.int64()))],
             names=["row_id", "number", "node", "line", "keys"],
         )
 
@@ -180,51 +184,67 @@ def _candidates(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return chunked.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(finish, kind)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of lines that are similar. nodes: node, line."""
+def _shapes(lines: DataFrame) -> DataFrame:
+    """class, n_shingles, line and parities (as operator 1 has them) of lines. lines: node, line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            good = pa.array([similar(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            found = [line_shingles(x) for x in batch.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in found], pa.int64()), batch.column("line"), pa.array([parities(x) for x in found], pa.binary())], names=["class", "n_shingles", "line", "parities"])
 
-    one, two = (nodes.select(F.col("node").alias(k), F.col("line").alias(to)) for k, to in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return lines.select("node", "line").mapInArrow(run, "class long, n_shingles long, line string, parities binary")
 
 
-def _undecided(keyed: DataFrame, groups: DataFrame) -> DataFrame:
-    """key, node and c, the node's component so far, of keys whose nodes are in different components."""
-    named = keyed.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    return named.join(several, "key")
+def line_shingles(line: str, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of a normal line's distinct shingles."""
+    code = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = max(1, len(code) - size + 1)
+    value = np.full(n, len(code) if len(code) < size else size, np.uint64)
+    for k in range(min(size, len(code))):
+        value = mix(value * _FACTOR[k] + code[k : k + n])
+    return distinct_values(value)
+
+
+def _verified(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of lines that are similar; those that the exact bound of their parities rules out aren't compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, p, q, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "p", "q", "x", "y"))
+            good = [may_link(n[i], np.frombuffer(p[i], np.uint64), m[i], np.frombuffer(q[i], np.uint64), percent) and similar(x[i], y[i], percent) for i in range(len(n))]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    one = shapes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n"), F.col("parities").alias("p"), F.col("line").alias("x"))
+    two = shapes.select(F.col("class").alias("b"), F.col("n_shingles").alias("m"), F.col("parities").alias("q"), F.col("line").alias("y"))
+    near = pairs.join(one, "a").filter("n >= 1").join(two, "b").filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    return near.mapInArrow(run, "a long, b long")
 
-def _groups(nodes: DataFrame, percent: int, lines: int) -> DataFrame:
-    """Components of lines, by verified links of those that share a key. nodes: node, line, keys.
 
-    In each round, the smallest nodes of a key are its centers and are held against all others of it in other components;
-    then they leave the key. It is done when those left are in one component, so each pair of a key is compared or joined.
+def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
+    """Components of lines, by verified links of those that share a key. found: node, line, keys, of some rows null.
+
+    Each line is first held against the smallest line it shares a key with, then against the smallest of its other keys.
+    Keys whose lines are in different components after that are walked as operator 1 walks its meetings, until every pair
+    that the exact bound allows has been compared or joined by others.
     """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = written(found.filter("keys is not null").select("node", F.explode("keys").alias("key")).distinct(), "keyed", 8 * lines)
     least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    others = keyed.join(least, "key").filter("a <> node")
-    pairs = others.select("a", F.col("node").alias("b")).distinct()
-    groups = written(components(written(_verified(pairs, nodes, percent), "links", 2 * lines), lines), "components", lines)
-    rest, centers = others.select("key", "node"), 1
-    while True:
-        rest = written(_undecided(rest, groups), "undecided")
-        if rest.isEmpty():
-            return groups
-        centers *= 4
-        ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        ours = ranked.filter(F.col("rank") <= centers).select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
-        pairs = ours.join(rest, "key").filter("a < node AND ca <> c").select("a", F.col("node").alias("b")).distinct()
-        links = written(_verified(pairs, nodes, percent), "links", 2 * lines)
-        if not links.isEmpty():
-            stars = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
-            groups = written(components(stars.unionByName(links), lines), "components", lines)
-        rest = ranked.filter(F.col("rank") > centers).select("key", "node")
+    pairs = written(keyed.join(least, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs", 2 * lines)
+    active = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    shapes = written(_shapes(found.filter("line is not null").select("node", "line").join(active, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))), "shapes", 8 * lines)
+    edges = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shapes, percent), "edges", lines)
+    groups = written(components(edges, lines), "components", lines)
+    groups = joined(groups, written(_verified(apart(pairs, groups), shapes, percent), "edges", lines), lines)
+    named = keyed.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1))).filter("lo <> hi")
+    met = written(keyed.join(open_.groupBy("s0", "s1").agg(F.min("key").alias("key")).select("key"), "key").select(F.col("key").alias("meeting"), "node"), "meetings", 2 * lines)  # keys of the same lines count once
+    start, first, last = groups, 0, 1
+    while not met.isEmpty():
+        left = written(cross_pairs(met, groups, start, shapes, percent, first, last), "pairs", lines)
+        groups = joined(groups, written(_verified(apart(left.filter("a is not null"), groups), shapes, percent), "edges", lines), lines)
+        met = met.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi")
+        first, last = last, 8 * last
+    return groups
 
 
 def repeated_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -232,11 +252,10 @@ def repeated_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", per
     plain = docs.select(F.col(id_).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = written(_candidates(plain, chunk_bytes), "lines")
     lines = found.count()
-    nodes = written(found.groupBy("node").agg(F.first("line").alias("line"), F.first("keys").alias("keys")), "nodes", 8 * lines)
-    groups = _groups(nodes, percent, lines)
+    groups = _groups(found, percent, lines)
     named = found.select("row_id", "number", "node").join(groups, "node", "left").select("row_id", "number", F.coalesce("component", "node").alias("component"))
     named = written(named, "named", lines)
-    first = named.groupBy("component").agg(F.min(F.struct("row_id", "number")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(named.groupBy("component").agg(F.min(F.struct("row_id", "number")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first", lines)
     out = named.join(first, "component")
     stays = F.struct("row_id", "number").eqNullSafe(F.col("first"))
     return out.select(F.col("row_id").alias(id_), "number", "component", stays.alias("stays"))
@@ -251,9 +270,12 @@ def remove_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", perce
     line. Rows repeated with their id are judged together and all keep the line that stays. A null id is smaller than any;
     rows without id are judged as one. An empty table gives an empty result; other columns are not read.
     """
-    gone = repeated_lines(docs, id_, text, percent, chunk_bytes).filter(~F.col("stays")).groupBy(F.col(id_).alias("_id")).agg(F.collect_set("number").alias("_gone"))
+    gone = repeated_lines(docs, id_, text, percent, chunk_bytes).filter(~F.col("stays")).groupBy(F.col(id_).alias("_id")).agg(F.sort_array(F.collect_set("number")).alias("_gone"))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_), body.alias("_text")).join(gone, F.col(id_).eqNullSafe(F.col("_id")), "left")
     lines = F.split("_text", "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return rows.select(id_, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
+    # the stretches between the lines that go, in one walk
+    stretches = "transform(sequence(0, size(_gone)), k -> slice(_lines, IF(k = 0, 0, _gone[k - 1] + 1) + 1, IF(k = size(_gone), size(_lines), _gone[k]) - IF(k = 0, 0, _gone[k - 1] + 1)))"
+    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.expr(f"array_join(flatten({stretches}), '\\n')"))
+    rows = rows.withColumn("_lines", lines)
+    return rows.select(id_, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
