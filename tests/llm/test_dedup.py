@@ -112,6 +112,25 @@ def test_keep_one_keeps_all_columns(awkward):
     assert sorted((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in kept.collect() if r["doc_id"] is not None) == sorted(want - {x for x in want if x[0] is None})
 
 
+def test_each_bucket_has_one_owner_and_its_key_range(families, spark):
+    found, owners, depth = exact_dedup.index(families, bucket_bytes=1500)
+    of = {r["prefix"]: (r["bucket"], r["local_depth"]) for r in owners.collect()}
+    assert len(of) == 1 << depth and len({b for b, _ in of.values()}) > 8
+    files = defaultdict(list)
+    for r in found.withColumn("file", F.input_file_name()).collect():
+        prefix = (r["key"] & (1 << 64) - 1) >> 64 - depth
+        assert r["bucket"] == of[prefix][0] and r["bucket"] >> depth - of[prefix][1] == prefix >> depth - of[prefix][1]
+        files[r["file"]].append(r["bucket"])
+    assert len(files) > 2 and all(x == sorted(x) for x in files.values())
+    assert sum(len(set(x)) for x in files.values()) == len({b for x in files.values() for b in x})
+
+
+def test_keys_that_different_texts_share(awkward, families):
+    for docs in (awkward, families):
+        want = sorted(str((r["doc_id"], r["text"])) for r in exact_dedup.keep_one(docs).collect())
+        assert sorted(str((r["doc_id"], r["text"])) for r in exact_dedup.keep_one(docs, key=lambda t: F.length(t).cast("long")).collect()) == want
+
+
 def test_directory_doubles_until_no_bucket_is_overfull(spark):
     rng = np.random.default_rng(1)
     keys = [int(k) for k in rng.integers(-(1 << 63), (1 << 63) - 1, 2000)] + [5] * 500
