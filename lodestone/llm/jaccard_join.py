@@ -37,6 +37,8 @@ BAND = 1.4
 #: Sets that meet under one key are all paired up to so many; beyond, with the smallest, and again where that isn't enough.
 FEW = 3
 SEEDS = 6
+#: How many of its meetings a set's rows name, so that a pair is listed by few of those in which it meets.
+SHOWN = 16
 _SETS = "n_shingles long, class long, shingles binary"
 
 
@@ -301,14 +303,21 @@ def members(meetings: DataFrame) -> DataFrame:
     return meetings.select("meeting", "body").mapInArrow(run, "meeting long, node long")
 
 
+def listed(met: DataFrame, rows: int) -> DataFrame:
+    """meeting, node, and the node's smallest meetings; a node has as many meetings as keys at most."""
+    low = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("meeting")), 1, SHOWN).alias("low"))
+    return written(met.join(low, "node").select("meeting", "node", "low"), "meetings", rows)
+
+
 def cross_pairs(met: DataFrame, groups: DataFrame, start: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
     """Of larger meetings whose members are in different components so far, pairs across that the bound allows.
 
     Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a null a
     says that the meeting b has further ones. Members of the component that was the meeting's largest at the start, before
     the round whose first is 0, list none: of a pair across, one end at least isn't one of them, and it is walked in every
-    round. So a meeting never lists all its pairs, and each pair that matters has its turn. met: meeting, node; classes: class,
-    n_shingles, parities.
+    round. So a meeting never lists all its pairs, and each pair that matters has its turn. A pair whose ends are known to have
+    met under a smaller name is left to that meeting, which has it, too. met: as listed() gives it, the same in all rounds
+    but for meetings that are done; classes: class, n_shingles, parities.
     """
 
     def across(table: pa.Table) -> pa.Table:
@@ -316,6 +325,7 @@ def cross_pairs(met: DataFrame, groups: DataFrame, start: DataFrame, classes: Da
         bits = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("parities")]
         least = min(map(len, bits))
         rows = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in bits])
+        own, low = table.column("meeting")[0].as_py(), [frozenset(x) for x in table.column("low").to_pylist()]
         found, more = set(), False
         # who is walked doesn't change when components join between rounds
         _, back, times = np.unique(before, return_inverse=True, return_counts=True)
@@ -327,16 +337,18 @@ def cross_pairs(met: DataFrame, groups: DataFrame, start: DataFrame, classes: Da
             near = np.flatnonzero(good)
             near = near[np.lexsort((node[near], unlike[near]))]
             apart = group[near] != group[i]
-            found.update((min(own, x), max(own, x)) for own in (int(node[i]),) for x in node[near[first:last][apart[first:last]]].tolist())
+            for j in near[first:last][apart[first:last]].tolist():
+                if min(low[i] & low[j], default=own) >= own:
+                    found.add((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
             more |= bool(apart[last:].any())
-        out = sorted(found) + [(None, table.column("meeting")[0].as_py())] * more
+        out = sorted(found) + [(None, own)] * more
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     rows = met.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
     several = rows.groupBy("meeting").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("meeting")
     began = start.select("node", F.col("component").alias("_c0"))
     full = rows.join(several, "meeting", "left_semi").join(began, "node", "left").withColumn("c0", F.coalesce("_c0", "node")).join(classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "parities"), "node")
-    return full.select("meeting", "node", "c", "c0", "n", "parities").groupBy("meeting").applyInArrow(across, "a long, b long").distinct()
+    return full.select("meeting", "node", "low", "c", "c0", "n", "parities").groupBy("meeting").applyInArrow(across, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -376,12 +388,14 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
 
         def settle(meetings: DataFrame, groups: DataFrame, start: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
             """Components after a round, and the meetings that need another one."""
-            left = written(cross_pairs(members(meetings.join(centers, "center", "left_semi")), groups, start, classes, percent, first, last), "pairs", work)
+            left = written(cross_pairs(meetings, groups, start, classes, percent, first, last), "pairs", work)
             more = written(_verified(apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
             return joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
 
+        one = listed(members(one.join(centers, "center", "left_semi")), work)
         for first, last in ((0, 1), (1, 3)):
             groups, _ = settle(one, groups, groups, first, last)
+        large = listed(members(large.join(centers, "center", "left_semi")), work)
         start, first, last = groups, 0, 1
         while True:
             groups, further = settle(large, groups, start, first, last)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import SLICE_BYTES, in_chunks, mix, text_bytes, written
 from lodestone.llm.common import distinct as distinct_values
 from lodestone.llm.components import components
-from lodestone.llm.jaccard_join import apart, cross_pairs, joined, may_link, parities
+from lodestone.llm.jaccard_join import apart, cross_pairs, joined, listed, may_link, parities
 from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 
 SHINGLE = 5
@@ -237,7 +237,8 @@ def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
     groups = joined(groups, written(_verified(apart(pairs, groups), shapes, percent), "edges", lines), lines)
     named = keyed.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1))).filter("lo <> hi")
-    met = written(keyed.join(open_.groupBy("s0", "s1").agg(F.min("key").alias("key")).select("key"), "key").select(F.col("key").alias("meeting"), "node"), "meetings", 2 * lines)  # keys of the same lines count once
+    once = open_.groupBy("s0", "s1").agg(F.min("key").alias("key")).select("key")  # keys of the same lines count once
+    met = listed(keyed.join(once, "key").select(F.col("key").alias("meeting"), "node"), 2 * lines)
     start, first, last = groups, 0, 1
     while not met.isEmpty():
         left = written(cross_pairs(met, groups, start, shapes, percent, first, last), "pairs", lines)
