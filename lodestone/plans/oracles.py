@@ -133,7 +133,7 @@ _RESULTS = f"{_ADAPTIVE}, {_bm25('rows0', 'query', 'query_id, snapshot_id', 'ord
 _QRESULTS = f"{_QUESTION}, {_bm25('rows1', 'query', 'query_id, snapshot_id', 'ord, is_paragraph')}, {_FINAL.format(rows='rows1')}"
 
 _CAND = f"""asked AS (
-  SELECT conv_id, array_to_string(list_slice(string_split(arg_min(text, turn), ' '), 1, 6), ' ') AS query FROM conversations WHERE role = 'user' GROUP BY conv_id
+  SELECT conv_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id
 ), cand AS (SELECT c.conv_id AS query_id, c.turn AS ord, c.text, a.query FROM conversations c JOIN asked a USING (conv_id)), {_bm25("cand", "query", "query_id", "ord")}"""
 
 _LABELS = f"""{_COS}, lw AS (
@@ -215,7 +215,7 @@ def oracle_sql() -> dict[str, str]:
               n AS (SELECT *, regexp_extract_all(text, '[+-]?\p{N}+(?:[.,]\p{N}+)*') AS ns, regexp_extract_all(query, '[+-]?\p{N}+(?:[.,]\p{N}+)*') AS qn FROM r)
             SELECT event_id, text, len(ns) > 0 AND regexp_matches(text, '^[\p{N}\s.,+\-−–—()/:\[\]]+$') AND len(list_filter(ns, lambda x: NOT list_contains(qn, x))) > 0 AS excluded, array_to_string(ns, ' ') AS numbers FROM n""",
         "exact_phrase": f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_words("text")}, ' ') || ' ' AS w FROM documents), b AS (SELECT item_id, {_words("text")} AS ph FROM benchmark)
-            SELECT DISTINCT doc_id, item_id FROM d JOIN b ON len(ph) > 1 AND contains(w, ' ' || array_to_string(ph, ' ') || ' ')""",
+            SELECT DISTINCT doc_id, item_id FROM d JOIN b ON len(ph) > 0 AND contains(w, ' ' || array_to_string(ph, ' ') || ' ')""",
         "bm25_scores": f"WITH {_CAND} SELECT query_id, ord, round(lexical, 6) AS lexical FROM bm",
         "bm25_topk": f"WITH {_CAND}, r AS (SELECT query_id, ord, round(lexical, 6) AS lexical, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, ord) AS INTEGER) AS rank FROM bm) SELECT * FROM r WHERE rank <= 3",
         "unit_vectors": f"WITH {_COS} SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm, round(e[1], 6) AS first, CAST(len(e) AS INTEGER) AS dim FROM u",

@@ -182,20 +182,22 @@ def exact_phrase(spark, sf_dir):
     """Documents that hold a benchmark text word for word: places of its first word, then the words from there on."""
     said = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
     asked = table(spark, sf_dir, "benchmark").select("item_id", X.words(F.col("text")).alias("phrase")).filter(F.size("phrase") > 0)
-    # the pair of the first two words names a place; phrases of one word have none beside it
+    # the pair of the first two words names a place; a phrase of one word is met by the word
     key = lambda words, i: F.xxhash64(F.get(words, i), F.coalesce(F.get(words, i + 1), F.lit("")))
     places = said.select("doc_id", "words", F.explode(F.array_distinct(F.transform("words", lambda w, i: key(F.col("words"), i)))).alias("_k"))
     met = places.join(asked.filter(F.size("phrase") > 1).withColumn("_k", key(F.col("phrase"), F.lit(0))), "_k")
-    return met.filter(X.contains_phrase(F.col("words"), F.col("phrase"))).select("doc_id", "item_id")
+    several = met.filter(X.contains_phrase(F.col("words"), F.col("phrase"))).select("doc_id", "item_id")
+    single = asked.filter(F.size("phrase") == 1).select("item_id", F.get("phrase", F.lit(0)).alias("_w"))
+    return several.unionByName(said.select("doc_id", F.explode(F.array_distinct("words")).alias("_w")).join(single, "_w").select("doc_id", "item_id"))
 
 
 # ---------------------------------------------------------------- BM25
 
 
 def _candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Each conversation is a page, its turns the passages; its first user turn's leading words are the query."""
+    """Each conversation is a page, its turns the passages; its first user turn is the query."""
     turns = table(spark, sf_dir, "conversations")
-    asked = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t")).select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(F.split("t", " "), 1, 6), " ").alias("query"))
+    asked = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query")).withColumnRenamed("conv_id", "query_id")
     rows = turns.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("snapshot_id"), F.col("turn").alias("ord"), "text")
     return asked, rows
 

@@ -87,3 +87,8 @@ def test_fixtures_and_synthetic(spark, tmp_path):
     assert [(r["query_id"], r["query"], r["relevant_ids"]) for r in fixtures.labelled_queries(spark, str(tmp_path / "q.json")).collect()] == [(0, "a", ["x", "y"]), (1, "b", [])]
     rows = synthetic.long_page(spark).orderBy(F.col("ord").desc()).collect()
     assert len(rows) == 231 and rows[0]["text"].startswith("The hidden answer")
+
+
+def test_deep_nesting():
+    e = walk("<div>" * 8000 + "<p>Words at the bottom of it all.</p>" + "</div>" * 8000)
+    assert [p["text"] for p in e.passages] == ["Words at the bottom of it all."]
