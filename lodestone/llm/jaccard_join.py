@@ -8,8 +8,8 @@
    the two kinds by their cost, such that together they tell H + 1 differences: linked sets then meet in one. Empty subsets
    meet nothing; a set that has so many that H + 1 isn't reached is indexed once more under another hash.
 3. Pairs that meet are held against an exact bound (n-grams whose parities differ), then verified on the sets themselves.
-   Where many sets meet under one key, they are paired with the smallest of them; pairs that this leaves undecided, in
-   different components, follow. No key lists all its pairs.
+   Where many sets meet under one key, they are paired with the smallest of them, its center. What a center's keys leave in
+   different components is walked as one bundle, each set once. No key lists all its pairs.
 4. Links join into components.
 """
 
@@ -188,9 +188,9 @@ def _sets(docs: DataFrame, ngram: int, percent: int, id_: str, text: str, chunk_
 
 
 def _meetings(classes: DataFrame, percent: int, largest: int, shards: int) -> DataFrame:
-    """Keys of all classes, gathered by shards of the keys: pairs that meet (kind 0) and larger meetings (kind 1).
+    """Keys of all classes, gathered by shards of the keys: pairs that meet (kind 0), of them those of large keys (kind 1).
 
-    kind, center, body: for kind 0 the pairs, for kind 1 the members of one key, of whom center is the smallest.
+    A key of few sets gives all their pairs, a large one each member's pair with the smallest, its center.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,23 +220,23 @@ def _meetings(classes: DataFrame, percent: int, largest: int, shards: int) -> Da
         keys, names = keys[order], names[order]
         new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(new, len(keys)))
-        pairs, large = [np.empty((0, 2), np.int64)], {}
+        pairs, stars = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
         for n in np.unique(size[size > 1]).tolist():
             groups = names[new[size == n][:, None] + np.arange(n)]
             if n <= FEW:
                 x, y = np.triu_indices(n, 1)
                 pairs.append(distinct_pairs(np.column_stack([groups[:, x].ravel(), groups[:, y].ravel()])))
             else:
-                large |= {g.tobytes(): int(g[0]) for g in groups}
-                pairs.append(distinct_pairs(np.column_stack([np.repeat(groups[:, 0], n - 1), groups[:, 1:].ravel()])))
-        every = distinct_pairs(np.concatenate(pairs))
-        return pa.table([pa.array([0] + [1] * len(large), pa.int32()), pa.array([0, *large.values()], pa.int64()), pa.array([every.tobytes(), *large], pa.binary())], names=["kind", "center", "body"])
+                stars.append(distinct_pairs(np.column_stack([np.repeat(groups[:, 0], n - 1), groups[:, 1:].ravel()])))
+        large = distinct_pairs(np.concatenate(stars))
+        every = distinct_pairs(np.concatenate([*pairs, large]))
+        return pa.table([pa.array([0, 1], pa.int32()), pa.array([every.tobytes(), large.tobytes()], pa.binary())], names=["kind", "body"])
 
     sent = classes.select("class", "shingles").mapInArrow(send, "shard int, names binary, owners binary, keys binary")
-    return sent.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, "kind int, center long, body binary")
+    return sent.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, "kind int, body binary")
 
 
-def _distinct_pairs(met: DataFrame, parts: int) -> DataFrame:
+def _distinct_pairs(met: DataFrame, parts: int, kind: int = 0) -> DataFrame:
     """The pairs a, b of all shards, each once."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def _distinct_pairs(met: DataFrame, parts: int) -> DataFrame:
         every = distinct_pairs(np.concatenate([np.frombuffer(b.as_py(), np.int64).reshape(-1, 2) for b in table.column("body")]))
         return pa.table([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
 
-    dealt = met.filter("kind = 0").select("body").mapInArrow(deal, "part int, body binary")
+    dealt = met.filter(F.col("kind") == kind).select("body").mapInArrow(deal, "part int, body binary")
     return dealt.repartition(parts, "part").groupBy("part").applyInArrow(merge, "a long, b long")
 
 
@@ -291,26 +291,25 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return named.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
-def members(meetings: DataFrame) -> DataFrame:
-    """meeting and node, from meeting and body."""
+def bundles(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """meeting and node: of each center that isn't in one component with all members of its keys, these members and itself.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.frombuffer(body, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array(found)], names=["meeting", "node"])
-
-    return meetings.select("meeting", "body").mapInArrow(run, "meeting long, node long")
+    Two sets that share a large key share its center, so every pair that keys have left open is in a bundle. One bundle for a
+    center takes a row for each of its members, however many keys they share.
+    """
+    centers = apart(stars, groups).select(F.col("a").alias("meeting")).distinct()
+    of_open = stars.select(F.col("a").alias("meeting"), F.col("b").alias("node")).join(centers, "meeting", "left_semi")
+    return of_open.unionByName(centers.withColumn("node", F.col("meeting")))
 
 
 def listed(met: DataFrame, rows: int) -> DataFrame:
-    """meeting, node, and the node's smallest meetings; a node has as many meetings as keys at most."""
+    """meeting, node, and the node's smallest meetings; a node has at most one meeting more than keys."""
     low = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("meeting")), 1, SHOWN).alias("low"))
     return written(met.join(low, "node").select("meeting", "node", "low"), "meetings", rows)
 
 
 def cross_pairs(met: DataFrame, groups: DataFrame, start: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
-    """Of larger meetings whose members are in different components so far, pairs across that the bound allows.
+    """Of meetings whose members are in different components so far, pairs across that the bound allows.
 
     Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a null a
     says that the meeting b has further ones. Members of the component that was the meeting's largest at the start, before
@@ -378,30 +377,14 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     groups = written(components(edges, found), "components", found)
     more = written(_verified(apart(pairs, groups), classes, percent), "edges", work)
     groups = joined(groups, more, found)
-    large = met.filter("kind = 1").select("center", "body", F.xxhash64("body").alias("meeting")).dropDuplicates(["meeting"])
-    if not large.isEmpty():
-        # the largest meeting of each center first: it settles most of what the stars have left open
-        one = written(large.groupBy("center").agg(F.max_by(F.struct("body", "meeting"), F.length("body")).alias("m")).select("center", "m.body", "m.meeting"), "largest", found)
-
-        # a meeting whose members have all joined its center needs no look
-        centers = written(apart(all_pairs, groups).select(F.col("a").alias("center")).distinct(), "centers", work)
-
-        def settle(meetings: DataFrame, groups: DataFrame, start: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
-            """Components after a round, and the meetings that need another one."""
-            left = written(cross_pairs(meetings, groups, start, classes, percent, first, last), "pairs", work)
-            more = written(_verified(apart(left.filter("a is not null"), groups), classes, percent), "edges", work)
-            return joined(groups, more, found), left.filter("a is null").select(F.col("b").alias("meeting"))
-
-        one = listed(members(one.join(centers, "center", "left_semi")), work)
-        for first, last in ((0, 1), (1, 3)):
-            groups, _ = settle(one, groups, groups, first, last)
-        large = listed(members(large.join(centers, "center", "left_semi")), work)
-        start, first, last = groups, 0, 1
-        while True:
-            groups, further = settle(large, groups, start, first, last)
-            if further.isEmpty():
-                break
-            large, first, last = large.join(further, "meeting", "left_semi"), last, 8 * last
+    stars = written(_distinct_pairs(met, shards, 1), "stars")
+    large = listed(bundles(stars, groups), work)
+    start, first, last = groups, 0, 1
+    while not large.isEmpty():
+        left = written(cross_pairs(large, groups, start, classes, percent, first, last), "pairs", work)
+        groups = joined(groups, written(_verified(apart(left.filter("a is not null"), groups), classes, percent), "edges", work), found)
+        large = large.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi")
+        first, last = last, 8 * last
     # classes that link with no other still hold equal documents
     named = plain.join(groups, plain["class"] == groups["node"], "left").select(id_, "n_shingles", "class", F.coalesce("component", "class").alias("_c"))
     named = written(named, "named", documents)

@@ -5,8 +5,8 @@
    lines of the least similarity agree in a band with a probability of 0.98 and more, as measured from 15 shingles on.
 2. A sketch of all chunks (sketch.py) tells a chunk which of its band keys may occur elsewhere. Lines without such a key
    are like no other and go no further.
-3. Lines that share a key are held against the smallest of them. Keys whose lines this leaves in different components are
-   walked until no pair across is left that an exact bound allows. Each pair's similarity is verified exactly.
+3. Lines that share a key are held against the smallest of them. What the keys of one smallest line leave in different
+   components is walked until no pair across is left that an exact bound allows. Each pair's similarity is verified exactly.
 4. Union-find joins links into components; of each component the first line stays.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import SLICE_BYTES, in_chunks, mix, text_bytes, written
 from lodestone.llm.common import distinct as distinct_values
 from lodestone.llm.components import components
-from lodestone.llm.jaccard_join import apart, cross_pairs, joined, listed, may_link, parities
+from lodestone.llm.jaccard_join import apart, bundles, cross_pairs, joined, listed, may_link, parities
 from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 
 SHINGLE = 5
@@ -224,8 +224,8 @@ def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
     """Components of lines, by verified links of those that share a key. found: node, line, keys, of some rows null.
 
     Each line is first held against the smallest line it shares a key with, then against the smallest of its other keys.
-    Keys whose lines are in different components after that are walked as operator 1 walks its meetings, until every pair
-    that the exact bound allows has been compared or joined by others.
+    The lines that share keys with one smallest line and are in different components after that are walked as operator 1 walks
+    its bundles, until every pair that the exact bound allows has been compared or joined by others.
     """
     keyed = written(found.filter("keys is not null").select("node", F.explode("keys").alias("key")).distinct(), "keyed", 8 * lines)
     least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
@@ -235,10 +235,7 @@ def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
     edges = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shapes, percent), "edges", lines)
     groups = written(components(edges, lines), "components", lines)
     groups = joined(groups, written(_verified(apart(pairs, groups), shapes, percent), "edges", lines), lines)
-    named = keyed.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1))).filter("lo <> hi")
-    once = open_.groupBy("s0", "s1").agg(F.min("key").alias("key")).select("key")  # keys of the same lines count once
-    met = listed(keyed.join(once, "key").select(F.col("key").alias("meeting"), "node"), 2 * lines)
+    met = listed(bundles(pairs, groups), 2 * lines)
     start, first, last = groups, 0, 1
     while not met.isEmpty():
         left = written(cross_pairs(met, groups, start, shapes, percent, first, last), "pairs", lines)

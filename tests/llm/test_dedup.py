@@ -204,7 +204,7 @@ def test_links_across_components_that_overtake_the_largest(spark, monkeypatch):
     def one_meeting(classes, *_):
         every = sorted(r["class"] for r in classes.select("class").collect())
         pairs = np.array([(every[0], b) for b in every[1:]], np.int64)
-        return spark.createDataFrame([(0, 0, pairs.tobytes()), (1, every[0], np.array(every, np.int64).tobytes())], "kind int, center long, body binary")
+        return spark.createDataFrame([(0, pairs.tobytes()), (1, pairs.tobytes())], "kind int, body binary")
 
     monkeypatch.setattr(jaccard_join, "_meetings", one_meeting)
     found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, ngram=1).collect()]
