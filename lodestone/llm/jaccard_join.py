@@ -302,24 +302,31 @@ def bundles(stars: DataFrame, groups: DataFrame) -> DataFrame:
     return of_open.unionByName(centers.withColumn("node", F.col("meeting")))
 
 
-def listed(met: DataFrame, rows: int) -> DataFrame:
-    """meeting, node, and the node's smallest meetings; a node has at most one meeting more than keys."""
+def members(met: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row for each node of the bundles: its component so far as c0, n, parities, and its smallest meetings as low.
+
+    A node has at most one meeting more than keys.
+    """
     low = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("meeting")), 1, SHOWN).alias("low"))
-    return written(met.join(low, "node").select("meeting", "node", "low"), "meetings", rows)
+    began = groups.select("node", F.col("component").alias("c0"))
+    shapes = classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "parities")
+    return low.join(shapes, "node").join(began, "node", "left").withColumn("c0", F.coalesce("c0", "node"))
 
 
-def cross_pairs(met: DataFrame, groups: DataFrame, start: DataFrame, classes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
+def cross_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, first: int, last: int) -> DataFrame:
     """Of meetings whose members are in different components so far, pairs across that the bound allows.
 
     Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a null a
     says that the meeting b has further ones. Members of the component that was the meeting's largest at the start, before
     the round whose first is 0, list none: of a pair across, one end at least isn't one of them, and it is walked in every
     round. So a meeting never lists all its pairs, and each pair that matters has its turn. A pair whose ends are known to have
-    met under a smaller name is left to that meeting, which has it, too. met: as listed() gives it, the same in all rounds
-    but for meetings that are done; classes: class, n_shingles, parities.
+    met under a smaller name is left to that meeting, which has it, too. met: as bundles() gives it, the same in all rounds
+    but for meetings that are done; nodes: as members() gives it, before the first round.
     """
 
     def across(table: pa.Table) -> pa.Table:
+        if len(table.column("c").unique()) < 2:
+            return table.select(["node", "c"]).rename_columns(["a", "b"]).slice(0, 0)
         node, group, before, size = (table.column(c).to_numpy() for c in ("node", "c", "c0", "n"))
         bits = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("parities")]
         least = min(map(len, bits))
@@ -343,11 +350,10 @@ def cross_pairs(met: DataFrame, groups: DataFrame, start: DataFrame, classes: Da
         out = sorted(found) + [(None, own)] * more
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    rows = met.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    several = rows.groupBy("meeting").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("meeting")
-    began = start.select("node", F.col("component").alias("_c0"))
-    full = rows.join(several, "meeting", "left_semi").join(began, "node", "left").withColumn("c0", F.coalesce("_c0", "node")).join(classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "parities"), "node")
-    return full.select("meeting", "node", "low", "c", "c0", "n", "parities").groupBy("meeting").applyInArrow(across, "a long, b long").distinct()
+    # components are looked up once for each node; the rows of meetings take part in one join
+    now = nodes.join(groups.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    full = met.join(now, "node").select("meeting", "node", "low", "c", "c0", "n", "parities")
+    return full.groupBy("meeting").applyInArrow(across, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -378,10 +384,11 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     more = written(_verified(apart(pairs, groups), classes, percent), "edges", work)
     groups = joined(groups, more, found)
     stars = written(_distinct_pairs(met, shards, 1), "stars")
-    large = listed(bundles(stars, groups), work)
-    start, first, last = groups, 0, 1
+    large = written(bundles(stars, groups), "bundles", work)
+    nodes = written(members(large, classes, groups), "members", work)
+    first, last = 0, 1
     while not large.isEmpty():
-        left = written(cross_pairs(large, groups, start, classes, percent, first, last), "pairs", work)
+        left = written(cross_pairs(large, nodes, groups, percent, first, last), "pairs", work)
         groups = joined(groups, written(_verified(apart(left.filter("a is not null"), groups), classes, percent), "edges", work), found)
         large = large.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi")
         first, last = last, 8 * last

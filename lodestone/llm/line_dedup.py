@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import SLICE_BYTES, in_chunks, mix, text_bytes, written
 from lodestone.llm.common import distinct as distinct_values
 from lodestone.llm.components import components
-from lodestone.llm.jaccard_join import apart, bundles, cross_pairs, joined, listed, may_link, parities
+from lodestone.llm.jaccard_join import apart, bundles, cross_pairs, joined, may_link, members, parities
 from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 
 SHINGLE = 5
@@ -235,10 +235,11 @@ def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
     edges = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shapes, percent), "edges", lines)
     groups = written(components(edges, lines), "components", lines)
     groups = joined(groups, written(_verified(apart(pairs, groups), shapes, percent), "edges", lines), lines)
-    met = listed(bundles(pairs, groups), 2 * lines)
-    start, first, last = groups, 0, 1
+    met = written(bundles(pairs, groups), "bundles", 2 * lines)
+    nodes = written(members(met, shapes, groups), "members", 8 * lines)
+    first, last = 0, 1
     while not met.isEmpty():
-        left = written(cross_pairs(met, groups, start, shapes, percent, first, last), "pairs", lines)
+        left = written(cross_pairs(met, nodes, groups, percent, first, last), "pairs", lines)
         groups = joined(groups, written(_verified(apart(left.filter("a is not null"), groups), shapes, percent), "edges", lines), lines)
         met = met.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi")
         first, last = last, 8 * last
