@@ -76,14 +76,35 @@ def test_controller_as_a_stream(spark, tmp_path):
 def test_refresh_makes_vectors_of_new_texts_only(spark, tmp_path):
     refresher = PageRefresher(spark, str(tmp_path), lambda df: embed(df, hashing_embedder()))
     page = lambda i, html: spark.createDataFrame([(i, html)], "page_id long, html string")
-    refresher(page(1, "<p>One two three four.</p><p>Five six seven eight.</p>"))
+    refresher(page(1, "<p>One two three four.</p><p>Five six seven eight.</p>"), 0)
     assert refresher.embedded == 2
-    refresher(page(1, "<p>One two three four.</p><p>Five six seven nine.</p>"))
+    refresher(page(1, "<p>One two three four.</p><p>Five six seven nine.</p>"), 1)
     assert refresher.embedded == 1
-    refresher(page(2, "<p>One two three four.</p>"))
+    refresher(page(2, "<p>One two three four.</p>"), 2)
     assert refresher.embedded == 0
-    assert {r["snapshot_id"]: r["version"] for r in refresher.versions.read().collect()} == {1: 2, 2: 1}
-    assert {r["text"] for r in refresher.vectors.read().collect()} == {"One two three four.", "Five six seven nine."}
+    assert {r["snapshot_id"]: r["version"] for r in refresher.versions().collect()} == {1: 2, 2: 1}
+    assert {r["text"] for r in refresher.vectors().collect()} == {"One two three four.", "Five six seven nine."}
+
+
+def test_refresh_survives_restarts_and_replays(spark, tmp_path):
+    make = lambda: PageRefresher(spark, str(tmp_path), lambda df: embed(df, hashing_embedder()), compact=3)
+    rows = lambda *r: spark.createDataFrame(list(r), "page_id long, html string, seen int")
+    versions = lambda r: {x["snapshot_id"]: x["version"] for x in r.versions().collect()}
+    make()(rows((1, "<p>One two three.</p>", 2), (1, "<p>Older words here.</p>", 1), (None, "<p>No page.</p>", 1)), 0, newest="seen")
+    again = make()
+    again(rows((1, "<p>Changed by a replay.</p>", 3)), 0, newest="seen")
+    assert versions(again) == {1: 1} and {r["text"] for r in again.live().collect()} == {"One two three."}
+    again.log.put("live", spark.createDataFrame([("", "Half a batch.", 9, 1)], again.log.schemas["live"]), 1)
+    assert {r["text"] for r in make().live().collect()} == {"One two three."}
+    make()(rows((1, "", 4), (2, "<p>Four five six.</p>", 4)), 1)
+    assert versions(make()) == {1: 2, 2: 1} and {r["text"] for r in make().live().collect()} == {"Four five six."}
+    make()(rows((1, "<p>Back with new words.</p>", 5)), 2)
+    log = make().log
+    assert log.base() == 2 and log.batches() == [] and log.committed(0) and log.committed(2) and not log.committed(3)
+    make()(rows((3, "<p>Four five six.</p>", 6)), 3)
+    after = make()
+    assert versions(after) == {1: 3, 2: 1, 3: 1}
+    assert {r["text"] for r in after.live().collect()} == {r["text"] for r in after.vectors().collect()} == {"Back with new words.", "Four five six."}
 
 
 def test_progress_is_throttled():
