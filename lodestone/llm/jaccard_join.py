@@ -390,7 +390,8 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     while not large.isEmpty():
         left = written(cross_pairs(large, nodes, groups, percent, first, last), "pairs", work)
         groups = joined(groups, written(_verified(apart(left.filter("a is not null"), groups), classes, percent), "edges", work), found)
-        large = large.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi")
+        # written, so that a round joins what the one before left open, and not all rounds' bundles anew
+        large = written(large.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi"), "bundles", work)
         first, last = last, 8 * last
     # classes that link with no other still hold equal documents
     named = plain.join(groups, plain["class"] == groups["node"], "left").select(id_, "n_shingles", "class", F.coalesce("component", "class").alias("_c"))
