@@ -241,7 +241,7 @@ def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
     while not met.isEmpty():
         left = written(cross_pairs(met, nodes, groups, percent, first, last), "pairs", lines)
         groups = joined(groups, written(_verified(apart(left.filter("a is not null"), groups), shapes, percent), "edges", lines), lines)
-        met = met.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi")
+        met = written(met.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi"), "bundles", 2 * lines)
         first, last = last, 8 * last
     return groups
 
