@@ -28,11 +28,12 @@ def query_windows(units: DataFrame) -> DataFrame:
     return units.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("q_no"), F.col("vector").alias("q_vector"))
 
 
-def cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, vec_id, score of each query with each vector."""
+def cosines(spark: SparkSession, sf_dir: str, best: int | None = None) -> DataFrame:
+    """query_id, vec_id, score of each query with each vector; with best, at least of those that are among its so many best."""
     units = unit_vectors(spark, sf_dir)
     targets = units.select("vec_id", F.lit(0).alias("w_no"), "vector")
-    return similarity.scores_in_blocks(query_windows(units), targets, ["vec_id"]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    # scores are ranked when rounded, so those that may round to the same are kept
+    return similarity.scores_in_blocks(query_windows(units), targets, ["vec_id"], best=best, margin=1e-5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,7 +235,7 @@ def cosine_scores(spark, sf_dir):
 
 @query
 def cosine_topk(spark, sf_dir):
-    best = similarity.top(S.cosines(spark, sf_dir), C.RERANK_CANDIDATES, ["query_id"], [F.col("score").desc(), F.col("vec_id")])
+    best = similarity.top(S.cosines(spark, sf_dir, C.RERANK_CANDIDATES), C.RERANK_CANDIDATES, ["query_id"], [F.col("score").desc(), F.col("vec_id")])
     return best.select("query_id", "vec_id", "score", "rank")
 
 

@@ -79,6 +79,18 @@ def test_blocks_agree_with_pairs(spark):
     a = {(r["query_id"], r["key"]): r["score"] for r in similarity.scores_in_blocks(q, t, ["key"], rows=7).collect()}
     b = {(r["query_id"], r["key"]): r["score"] for r in similarity.window_scores(q.withColumn("page", F.lit(1)), t.withColumn("page", F.lit(1)), ["page"]).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    some = {(r["query_id"], r["key"]): r["score"] for r in similarity.scores_in_blocks(q, t, ["key"], rows=7, best=3, margin=1e-9).collect()}
+    assert len(some) < len(a) and all(some[k] == pytest.approx(b[k]) for k in some)
+    for i in range(5):
+        assert set(sorted((k for k in b if k[0] == i), key=lambda k: -b[k])[:3]) <= set(some)
+
+
+def test_best_of_blocks_keeps_ties(spark):
+    q = spark.createDataFrame([(0, 0, [1.0, 0.0])], "query_id long, q_no int, q_vector array<double>")
+    t = spark.createDataFrame([(f"k{i}", 0, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(20)], "key string, w_no int, vector array<double>").coalesce(1)
+    found = similarity.scores_in_blocks(q, t, ["key"], rows=20, best=3).collect()
+    assert {r["key"] for r in found} == {f"k{i}" for i in range(1, 20, 2)}
+    assert similarity.scores_in_blocks(q, t.limit(0), ["key"], best=3).count() == 0
 
 
 def test_classifier_head():
