@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import mix, written
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
@@ -64,7 +64,10 @@ def _record(schema: str, columns: list) -> pa.RecordBatch:
 
 
 def _blocks(shards: DataFrame, every: int, count: int) -> DataFrame:
-    """The rows whose id is divisible by every, in blocks; each remembers its shard and its place there."""
+    """The rows whose id is divisible by every, in blocks; each remembers its shard and its place there.
+
+    Shards are dealt to blocks by a hash: their numbers begin with the partition, which a remainder by a power of two drops.
+    """
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +76,8 @@ def _blocks(shards: DataFrame, every: int, count: int) -> DataFrame:
                 at = np.flatnonzero(keys % every == 0)
                 if len(at):
                     rows = np.frombuffer(vectors).reshape(n, dim)[at]
-                    yield _record(_BLOCK, [[shard % count], [dim], [len(at)], [np.full(len(at), shard).tobytes()], [at.astype(np.int64).tobytes()], [keys[at].tobytes()], [rows.tobytes()]])
+                    block = int(mix(np.array([shard], np.uint64))[0] % np.uint64(count))
+                    yield _record(_BLOCK, [[block], [dim], [len(at)], [np.full(len(at), shard).tobytes()], [at.astype(np.int64).tobytes()], [keys[at].tobytes()], [rows.tobytes()]])
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()

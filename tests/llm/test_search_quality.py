@@ -35,6 +35,13 @@ def test_top_k_with_ties_repeats_and_odd_vectors(spark):
     assert run(spark, rows, k=7, shard_rows=1000, block_rows=2, broadcast_bytes=0) == want
 
 
+def test_queries_of_all_partitions_spread_over_the_blocks(spark):
+    rows = spark.range(640).selectExpr("id vec_id", "array(cast(id as float)) embedding").repartition(64, "vec_id")
+    shards = top_k.whole_numbers(rows, rows=16)
+    sizes = [r["n"] for r in top_k._blocks(shards, 1, 8).select("n").collect()]
+    assert sum(sizes) == 640 and len(sizes) == 8 and max(sizes) < 240
+
+
 def test_top_k_of_large_components(spark):
     rows = [(i, [1e13 * (i % 7 - 3), 3.7e12 * i, -2.5e13]) for i in range(30)] + [(100, [1e6, 1e6, 1.0])]
     assert run(spark, rows, k=5, every=10) == brute(rows, 5, 10)
