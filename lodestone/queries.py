@@ -12,7 +12,9 @@ from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators import cache, context, evaluate, hybrid, lexical, ranking, rerank, section, segment, similarity, snapshot, windows
 from lodestone.plans import surrogate as S
+from lodestone.plans.cut import cut
 from lodestone.plans.oracles import oracle_sql
+from lodestone.plans.search import hashing_embedder, search
 from lodestone.plans.surrogate import table
 from lodestone.sources import assets, pages, synthetic
 from lodestone.streaming import events as ev
@@ -487,3 +489,10 @@ def page_passages(spark, sf_dir):
     return found.drop("section_heading_ids").withColumn("sections", F.lit(0))
 
 
+@query
+def search_pages(spark, sf_dir):
+    """The whole search, over the extracted pages: each page is asked for its own subject, with vectors of hashed words."""
+    extracted = cut(pages.extract(table(spark, sf_dir, "pages")))
+    asked = extracted.filter("subject is not null").select(F.col("snapshot_id").alias("query_id"), "snapshot_id", F.col("subject").alias("query"))
+    found = search(asked, pages.passages(extracted), pages.blocks(extracted), hashing_embedder(256)).results()
+    return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", "text", F.round("score", 6).alias("score"), "rank")
