@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone import config as C
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
-from lodestone.operators import cache, context, evaluate, hybrid, lexical, ranking, rerank, section, segment, similarity, snapshot, windows
+from lodestone.operators import cache, context, evaluate, hybrid, lexical, paged, ranking, rerank, section, segment, similarity, snapshot, windows
 from lodestone.plans import surrogate as S
 from lodestone.plans.cut import cut
 from lodestone.plans.oracles import oracle_sql
@@ -271,9 +271,13 @@ def relevance_flags(spark, sf_dir):
 # ---------------------------------------------------------------- ranking
 
 
+def _met_blocks(spark, sf_dir) -> DataFrame:
+    return paged.in_blocks(S.met(spark, sf_dir))
+
+
 @query
 def evidence_ranking(spark, sf_dir):
-    rows, *_ = S.ranked(spark, sf_dir)
+    rows = paged.ranked(_met_blocks(spark, sf_dir))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*ranking.GROUP).orderBy(*ranking.order())))
     return rows.select("query_id", "snapshot_id", "passage_id", F.round("evidence_score", 6).alias("evidence_score"), F.round("section_boost", 6).alias("section_boost"), F.round("paragraph_boost", 6).alias("paragraph_boost"), "tier", F.round("value", 9).alias("value"), "exact_match", "reason", "rank")
 
