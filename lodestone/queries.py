@@ -302,7 +302,7 @@ def question_cutoff(spark, sf_dir):
 
 
 def _results(spark, sf_dir) -> DataFrame:
-    return hybrid.finalize(*S.ranked(spark, sf_dir))
+    return paged.finalize(paged.results_before_lexical(_met_blocks(spark, sf_dir)), S.queries(spark, sf_dir))
 
 
 @query
