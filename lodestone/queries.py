@@ -356,9 +356,9 @@ def rerank_pairs(spark, sf_dir):
 
 @query
 def context_runs(spark, sf_dir):
-    rows, *_ = S.ranked(spark, sf_dir)
-    chosen = _results(spark, sf_dir).filter(~F.col("is_paragraph")).select(*ranking.GROUP, "passage_id")
-    return context.surrounding(rows, chosen).select("query_id", "snapshot_id", "selected", "passage_id")
+    blocks = paged.in_blocks(paged.with_percents(S.met(spark, sf_dir)), around=True)
+    chosen = paged.finalize(paged.results_before_lexical(blocks), S.queries(spark, sf_dir)).filter(~F.col("is_paragraph"))
+    return chosen.select("query_id", "snapshot_id", F.col("passage_id").alias("selected"), F.explode("near").alias("passage_id"))
 
 
 # ---------------------------------------------------------------- caches, versions
