@@ -284,8 +284,7 @@ def evidence_ranking(spark, sf_dir):
 
 @query
 def adaptive_paragraphs(spark, sf_dir):
-    rows, q, blocks, par = S.ranked(spark, sf_dir)
-    found = ranking.adaptive(rows, q, blocks, par)
+    found = paged.adaptive(_met_blocks(spark, sf_dir))
     return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("score", 6).alias("score"), F.round("evidence_score", 6).alias("evidence_score"), "tier", F.round("value", 9).alias("value"), F.col("focus.passage_id").alias("focus_id"))
 
 
