@@ -309,10 +309,13 @@ def hybrid_final(spark, sf_dir):
     return _results(spark, sf_dir).select("query_id", "snapshot_id", "passage_id", "is_paragraph", "tier", F.round("value", 9).alias("value"), "rank")
 
 
+def _question_rows(spark, sf_dir) -> DataFrame:
+    return paged.question_rows(paged.results_before_lexical(_met_blocks(spark, sf_dir)), sentence=0.9, paragraph=1.1)
+
+
 @query
 def hybrid_question(spark, sf_dir):
-    rows, q, blocks, par = S.ranked(spark, sf_dir)
-    found = hybrid.finalize(rows, q, blocks, par, _question(rows, par))
+    found = paged.finalize(_question_rows(spark, sf_dir), S.queries(spark, sf_dir))
     return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("value", 9).alias("value"), "rank")
 
 
