@@ -288,16 +288,9 @@ def adaptive_paragraphs(spark, sf_dir):
     return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("score", 6).alias("score"), F.round("evidence_score", 6).alias("evidence_score"), "tier", F.round("value", 9).alias("value"), F.col("focus.passage_id").alias("focus_id"))
 
 
-def _question(rows: DataFrame, par: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return rows.select(*ranking.GROUP, "passage_id", (F.col("score") * 0.9).alias("question_score")), par.select(*ranking.GROUP, "block_id", (F.col("score") * 1.1).alias("question_score"))
-
-
 @query
 def question_cutoff(spark, sf_dir):
-    rows, q, blocks, par = S.ranked(spark, sf_dir)
-    base = ranking.adaptive(rows, q, blocks, par).filter(F.col("is_paragraph") | X.substantive(F.col("role")))
-    found = hybrid.question_rows(base, rows, *_question(rows, par))
-    return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("question_score", 9).alias("question_score"), F.round("value", 9).alias("value"))
+    return _question_rows(spark, sf_dir).select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("question_score", 9).alias("question_score"), F.round("value", 9).alias("value"))
 
 
 def _results(spark, sf_dir) -> DataFrame:
