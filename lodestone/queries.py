@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone import config as C
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
-from lodestone.operators import cache, context, evaluate, hybrid, lexical, paged, ranking, rerank, section, segment, similarity, snapshot, windows
+from lodestone.operators import cache, context, evaluate, lexical, paged, ranking, rerank, section, segment, similarity, snapshot, windows
 from lodestone.plans import surrogate as S
 from lodestone.plans.cut import cut
 from lodestone.plans.oracles import oracle_sql
@@ -288,6 +288,10 @@ def adaptive_paragraphs(spark, sf_dir):
     return found.select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("score", 6).alias("score"), F.round("evidence_score", 6).alias("evidence_score"), "tier", F.round("value", 9).alias("value"), F.col("focus.passage_id").alias("focus_id"))
 
 
+def _question_rows(spark, sf_dir) -> DataFrame:
+    return paged.question_rows(paged.results_before_lexical(_met_blocks(spark, sf_dir)), sentence=0.9, paragraph=1.1)
+
+
 @query
 def question_cutoff(spark, sf_dir):
     return _question_rows(spark, sf_dir).select("query_id", "snapshot_id", "passage_id", "is_paragraph", F.round("question_score", 9).alias("question_score"), F.round("value", 9).alias("value"))
@@ -302,10 +306,6 @@ def hybrid_final(spark, sf_dir):
     return _results(spark, sf_dir).select("query_id", "snapshot_id", "passage_id", "is_paragraph", "tier", F.round("value", 9).alias("value"), "rank")
 
 
-def _question_rows(spark, sf_dir) -> DataFrame:
-    return paged.question_rows(paged.results_before_lexical(_met_blocks(spark, sf_dir)), sentence=0.9, paragraph=1.1)
-
-
 @query
 def hybrid_question(spark, sf_dir):
     found = paged.finalize(_question_rows(spark, sf_dir), S.queries(spark, sf_dir))

@@ -48,7 +48,7 @@ def test_same_rows_as_from_tables(spark, tables, blocks):
     assert rows(runs, "selected", "passage_id") == rows(context.surrounding(ranked, chosen), "selected", "passage_id")
 
 
-@pytest.mark.parametrize("name", ["evidence_ranking", "hybrid_final", "context_runs", "adaptive_paragraphs", "hybrid_question", "question_cutoff"])
+@pytest.mark.parametrize("name", ["evidence_ranking", "hybrid_final", "context_runs", "adaptive_paragraphs", "hybrid_question", "question_cutoff", "result_positions"])
 def test_rows_of_queries_and_passages_stay_where_they_are(spark, name):
     plan = own.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Scan ExistingRDD" not in plan, "checkpointed rows"
