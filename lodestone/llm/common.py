@@ -100,12 +100,13 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def in_chunks(docs: DataFrame, chunk_bytes: int, text: str = "text") -> DataFrame:
+def in_chunks(docs: DataFrame, chunk_bytes: int, text: str = "text", total: int | None = None) -> DataFrame:
     """docs with a column chunk, dealt out by it: chunks hold chunk_bytes of text each on average, by a hash of the rows.
 
-    Rows without text count as empty ones. The number of chunks follows the input, so each stays as large as now.
+    Rows without text count as empty ones. The number of chunks follows the input, so each stays as large as now. total:
+    the bytes of all texts, where they have been summed.
     """
-    n = max(1, -(-text_bytes(docs, text) // chunk_bytes))
+    n = max(1, -(-(text_bytes(docs, text) if total is None else total) // chunk_bytes))
     chunk = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(n)).cast("int")
     return docs.withColumn("chunk", chunk).repartition(n, "chunk")
 

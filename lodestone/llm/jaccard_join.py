@@ -127,9 +127,13 @@ def set_keys(shingles: np.ndarray, percent: int, plan: list[Band]) -> np.ndarray
     return distinct(np.concatenate([*found, np.empty(0, np.uint64)]))
 
 
+def parity_places(n: int) -> int:
+    return 1 << max(8, (4 * n - 1).bit_length())
+
+
 def parities(shingles: np.ndarray) -> bytes:
     """A bitmap: which of its places are hit by an odd number of n-grams; a power of two from 256, four for each or more."""
-    places = 1 << max(8, (4 * len(shingles) - 1).bit_length())
+    places = parity_places(len(shingles))
     hits = np.bincount((mix(shingles) & np.uint64(places - 1)).astype(np.int64), minlength=places)
     return np.packbits(hits & 1, bitorder="little").tobytes()
 
@@ -236,7 +240,7 @@ def _meetings(classes: DataFrame, percent: int, largest: int, shards: int) -> Da
     return sent.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, "kind int, body binary")
 
 
-def _distinct_pairs(met: DataFrame, parts: int, kind: int = 0) -> DataFrame:
+def gathered_pairs(met: DataFrame, parts: int, kind: int = 0) -> DataFrame:
     """The pairs a, b of all shards, each once."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +317,7 @@ def members(met: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     return low.join(shapes, "node").join(began, "node", "left").withColumn("c0", F.coalesce("c0", "node"))
 
 
-def cross_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, first: int, last: int) -> DataFrame:
+def cross_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, first: int, last: int, parts: int | None = None) -> DataFrame:
     """Of meetings whose members are in different components so far, pairs across that the bound allows.
 
     Each member's allowed partners are taken in order of their distance, those from first up to last; a row with a null a
@@ -321,17 +325,15 @@ def cross_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, percent: in
     the round whose first is 0, list none: of a pair across, one end at least isn't one of them, and it is walked in every
     round. So a meeting never lists all its pairs, and each pair that matters has its turn. A pair whose ends are known to have
     met under a smaller name is left to that meeting, which has it, too. met: as bundles() gives it, the same in all rounds
-    but for meetings that are done; nodes: as members() gives it, before the first round.
+    but for meetings that are done; nodes: as members() gives it, before the first round. parts: in how many groups whole
+    meetings are handed to Python, where there are many small ones; otherwise each by itself.
     """
 
-    def across(table: pa.Table) -> pa.Table:
-        if len(table.column("c").unique()) < 2:
-            return table.select(["node", "c"]).rename_columns(["a", "b"]).slice(0, 0)
-        node, group, before, size = (table.column(c).to_numpy() for c in ("node", "c", "c0", "n"))
-        bits = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("parities")]
+    def walked(own: int, node: np.ndarray, group: np.ndarray, before: np.ndarray, size: np.ndarray, bits: list[np.ndarray], low: list[frozenset[int]]) -> list[tuple[int | None, int]]:
+        if (group == group[0]).all():
+            return []
         least = min(map(len, bits))
-        rows = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in bits])
-        own, low = table.column("meeting")[0].as_py(), [frozenset(x) for x in table.column("low").to_pylist()]
+        rows = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) if len(x) > least else x for x in bits])
         found, more = set(), False
         # who is walked doesn't change when components join between rounds
         _, back, times = np.unique(before, return_inverse=True, return_counts=True)
@@ -347,13 +349,22 @@ def cross_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, percent: in
                 if min(low[i] & low[j], default=own) >= own:
                     found.add((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
             more |= bool(apart[last:].any())
-        out = sorted(found) + [(None, own)] * more
+        return sorted(found) + [(None, own)] * more
+
+    def across(table: pa.Table) -> pa.Table:
+        table = table.sort_by("meeting")
+        meeting, node, group, before, size = (table.column(c).to_numpy() for c in ("meeting", "node", "c", "c0", "n"))
+        bits = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("parities")]
+        low = [frozenset(x) for x in table.column("low").to_pylist()]
+        ends = np.flatnonzero(np.append(meeting[1:] != meeting[:-1], True)) + 1
+        out = [x for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) for x in walked(int(meeting[a]), node[a:b], group[a:b], before[a:b], size[a:b], bits[a:b], low[a:b])]
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     # components are looked up once for each node; the rows of meetings take part in one join
     now = nodes.join(groups.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     full = met.join(now, "node").select("meeting", "node", "low", "c", "c0", "n", "parities")
-    return full.groupBy("meeting").applyInArrow(across, "a long, b long").distinct()
+    by = "meeting" if parts is None else F.pmod(F.xxhash64("meeting"), F.lit(parts)).alias("part")
+    return full.groupBy(by).applyInArrow(across, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -376,14 +387,14 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     shards = max(1, int(total) // 400_000)
     work = 20 * found  # steps that work on sets spread over more tasks than those on numbers alone
     met = written(_meetings(classes, percent, int(largest), shards), "meetings")
-    all_pairs = written(_distinct_pairs(met, shards), "met")
+    all_pairs = written(gathered_pairs(met, shards), "met")
     pairs = written(_bounded(all_pairs, classes, percent), "pairs", work)
     # each set is first verified against the smallest it may link with; what that leaves apart follows
     edges = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, percent), "edges", work)
     groups = written(components(edges, found), "components", found)
     more = written(_verified(apart(pairs, groups), classes, percent), "edges", work)
     groups = joined(groups, more, found)
-    stars = written(_distinct_pairs(met, shards, 1), "stars")
+    stars = written(gathered_pairs(met, shards, 1), "stars")
     large = written(bundles(stars, groups), "bundles", work)
     nodes = written(members(large, classes, groups), "members", work)
     first, last = 0, 1

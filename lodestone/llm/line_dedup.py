@@ -18,14 +18,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import SLICE_BYTES, in_chunks, mix, text_bytes, written
+from lodestone.llm.common import SLICE_BYTES, distinct_pairs, in_chunks, mix, text_bytes, written
 from lodestone.llm.common import distinct as distinct_values
 from lodestone.llm.components import components
-from lodestone.llm.jaccard_join import apart, bundles, cross_pairs, joined, may_link, members, parities
+from lodestone.llm.jaccard_join import apart, bundles, cross_pairs, gathered_pairs, joined, may_link, members, parity_places
 from lodestone.llm.sketch import Sketch, repeated, seen_elsewhere
 
 SHINGLE = 5
@@ -37,11 +38,17 @@ CHUNK_BYTES = 6 << 20
 #: Of the sketch: a line has few keys for its length, each of which may flag it by chance.
 SHARD_BYTES = 24 << 20
 COUNTERS = 16
+#: Lines whose keys a shard gathers.
+SHARD_LINES = 40_000
+#: Rows of bundles that are handed to Python at once; most bundles have two or three.
+BUNDLE_ROWS = 2_000
 
 _rng = np.random.default_rng(31)
 _CHOICE = np.concatenate([_rng.permutation(BINS), _rng.permutation(BINS)])[: BANDS * ROWS].reshape(BANDS, ROWS)
 #: For each part, the order in which it asks all parts for a value if it has none.
 _ASKED = np.argsort(_rng.random((BINS, BINS)), axis=0)
+#: So often all parts ask, as arrays are quick; then those that still have none.
+_ASKED_BY_ALL = 12
 _FACTOR = _rng.integers(1 << 62, 1 << 63, max(ROWS, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BIN_BITS = BINS.bit_length() - 1
 _FACTOR32 = (_FACTOR >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
@@ -58,6 +65,14 @@ def _normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
+def _normal_lines(text: bytes) -> list[bytes]:
+    """The normal forms of a text's lines; those of a text without blanks in a row or control characters are made at once."""
+    text = text.lower()
+    if b"  " in text or len(text.translate(None, b"\t\v\f\r")) < len(text):
+        return [_normal(line) for line in text.split(b"\n")]
+    return [line.strip(b" ") for line in text.split(b"\n")]
+
+
 def shingles(line: str, size: int = SHINGLE) -> set[str]:
     """Runs of size characters of a normal line, or the whole of a shorter one."""
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))} if line else set()
@@ -83,52 +98,73 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
+class _Runs:
+    """The characters of normal, non-empty lines in UTF-8, and where in them the lines' runs of size begin."""
+
+    def __init__(self, lines: list[bytes], size: int):
+        self.code = np.frombuffer(b"\n".join([*lines, b""]).decode().encode("utf-32-le"), np.uint32)
+        stop = np.flatnonzero(self.code == 10)
+        self.length = np.diff(stop, prepend=-1) - 1
+        self.start = stop - self.length
+        #: Lines with fewer characters, whose one run is the whole of them.
+        self.short = np.flatnonzero(self.length < size)
+        #: Where a run begins: not at a line break, nor at the last size - 1 characters before one.
+        self.inside = np.ones(len(self.code), bool)
+        for k in range(size):
+            self.inside[np.maximum(stop - k, 0)] = False
+        self.inside[self.start[self.short]] = True
+        self.counts = np.maximum(self.length - size + 1, 1)
+
+    def whole(self, line: int) -> np.ndarray:
+        return self.code[self.start[line] : self.start[line] + self.length[line]]
+
+
 def band_keys(lines: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The keys of normal, non-empty lines in UTF-8, one row each."""
-    code = np.frombuffer(b"\n".join([*lines, b""]).decode().encode("utf-32-le"), np.uint32)
-    stop = np.flatnonzero(code == 10)
-    length = np.diff(stop, prepend=-1) - 1
-    start = stop - length
-    n = len(code)
-    wide = np.concatenate([code, np.zeros(size, np.uint32)])
+    runs = _Runs(lines, size)
+    n = len(runs.code)
+    wide = np.concatenate([runs.code, np.zeros(size, np.uint32)])
     value = wide[:n] * _FACTOR32[0]
     for k in range(1, size):
         value += wide[k : n + k] * _FACTOR32[k]
-    for i in np.flatnonzero(length < size).tolist():  # the whole of a shorter line
-        value[start[i]] = sum(int(c) * int(f) for c, f in zip(code[start[i] : stop[i]], _FACTOR32, strict=False)) & (1 << 32) - 1
-    inside = np.ones(n, bool)  # where a run begins: not at a line break, nor at the last size - 1 characters before one
-    for k in range(size):
-        inside[np.maximum(stop - k, 0)] = False
-    inside[start[length < size]] = True
-    runs = np.maximum(length - size + 1, 1)
-    owner = np.repeat(np.arange(len(lines), dtype=np.int64) * BINS, runs)
-    value = _scrambled(value[inside])
-    table = np.full(len(lines) * BINS, _NONE)
-    owner += value >> np.uint32(32 - _BIN_BITS)
+    for i in runs.short.tolist():
+        value[runs.start[i]] = sum(int(c) * int(f) for c, f in zip(runs.whole(i), _FACTOR32, strict=False)) & (1 << 32) - 1
+    owner = np.repeat(np.arange(len(lines), dtype=np.int64), runs.counts)
+    value = _scrambled(value[runs.inside])
+    table = np.full(BINS * len(lines), _NONE)  # a row for each part, which asks and lends for all lines at once
+    owner += (value >> np.uint32(32 - _BIN_BITS)).astype(np.int64) * len(lines)
     np.minimum.at(table, owner, value)
-    table = table.reshape(-1, BINS)
-    source = table.copy()
-    line, part = np.nonzero(table == _NONE)
-    for asked in _ASKED:
+    table = _lent(table.reshape(BINS, -1)).astype(np.uint64)
+    keys = np.zeros((BANDS, len(lines)), np.uint64)
+    for r in range(ROWS):
+        keys += table[_CHOICE[:, r]] * _FACTOR[r]
+    return mix(keys.T + np.arange(BANDS, dtype=np.uint64) * _FACTOR[ROWS])
+
+
+def _lent(table: np.ndarray) -> np.ndarray:
+    """A table of parts by lines; a part without a value has that of the first one it asks that has one."""
+    none = table == _NONE
+    own = np.where(none, np.uint8(255), np.arange(BINS, dtype=np.uint8)[:, None])
+    lender = own.copy()
+    for asked in _ASKED[:_ASKED_BY_ALL]:
+        if not none.any():
+            break
+        lender &= own.take(asked, axis=0) | (none.view(np.uint8) - np.uint8(1))  # 255 has all bits
+        none = lender == 255
+    part, line = np.nonzero(none)
+    for asked in _ASKED[_ASKED_BY_ALL:]:
         if not len(line):
             break
-        lent = source[line, asked[part]]
-        take = lent != _NONE
-        table[line[take], part[take]] = lent[take]
-        line, part = line[~take], part[~take]
-    table = table.astype(np.uint64)
-    keys = np.zeros((len(lines), BANDS), np.uint64)
-    for r in range(ROWS):
-        keys += table[:, _CHOICE[:, r]] * _FACTOR[r]
-    return mix(keys + np.arange(BANDS, dtype=np.uint64) * _FACTOR[ROWS])
+        lender[part, line] = found = own[asked[part], line]
+        part, line = part[found == 255], line[found == 255]
+    return np.take_along_axis(table, (lender % BINS).astype(np.intp), axis=0)
 
 
 def _lines(table: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
     """Of a chunk's non-blank lines the row, the number within its text, and the normal form."""
     rows, numbers, found = [], [], []
     for row, text in enumerate(table.column("_text").cast(pa.binary()).to_pylist()):
-        for number, line in enumerate(text.split(b"\n")):
-            line = _normal(line)
+        for number, line in enumerate(_normal_lines(text)):
             if line:
                 rows.append(row)
                 numbers.append(number)
@@ -136,18 +172,22 @@ def _lines(table: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
     return rows, numbers, found
 
 
-def _keys(lines: list[bytes]) -> np.ndarray:
-    """Band keys in portions of bounded size."""
-    out, part, size = [np.empty((0, BANDS), np.uint64)], [], 0
+def _portions(lines: list[bytes]) -> Iterator[list[bytes]]:
+    """Lines in portions of bounded size; a longer one is taken with those before it."""
+    part, size = [], 0
     for line in lines:
         part.append(line)
-        size += len(line)
+        size += len(line) + 64  # and what short lines take besides
         if size > SLICE_BYTES // 2:
-            out.append(band_keys(part))
+            yield part
             part, size = [], 0
     if part:
-        out.append(band_keys(part))
-    return np.concatenate(out)
+        yield part
+
+
+def _keys(lines: list[bytes]) -> np.ndarray:
+    """Band keys in portions of bounded size."""
+    return np.concatenate([np.empty((0, BANDS), np.uint64), *map(band_keys, _portions(lines))])
 
 
 def _name(line: bytes) -> int:
@@ -158,24 +198,29 @@ def _candidates(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """row_id, number and node of each line that has a key in common with another, once with line and keys. docs: row_id, _text."""
     total = text_bytes(docs, "_text")
     sketch, chunks = Sketch.of(total, SHARD_BYTES, COUNTERS), max(1, -(-total // chunk_bytes))
-    chunked = in_chunks(docs, chunk_bytes, "_text")
+    chunked = in_chunks(docs, chunk_bytes, "_text", total)
 
     def hashes(table: pa.Table) -> np.ndarray:
         return _keys(list(dict.fromkeys(_lines(table)[2]))).ravel()
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows, numbers, found = _lines(table)
-        distinct = list(dict.fromkeys(found))
+        place: dict[bytes, int] = {}
+        code = np.array([place.setdefault(line, len(place)) for line in found], np.int64)
+        distinct = list(place)
         keys = _keys(distinct)
         often = repeated(keys.ravel(), sketch, answers).reshape(keys.shape)
-        place = {line: k for k, line in enumerate(distinct)}
-        times = np.bincount([place[line] for line in found], minlength=len(distinct))
-        kept = [(r, n, place[line]) for r, n, line in zip(rows, numbers, found, strict=True) if times[place[line]] > 1 or often[place[line]].any()]
-        first = {k: i for i, (*_, k) in reversed(list(enumerate(kept)))}  # equal lines of a chunk send their text and keys once
-        once = [first[k] == i for i, (*_, k) in enumerate(kept)]
+        kept = np.flatnonzero(((np.bincount(code, minlength=len(distinct)) > 1) | often.any(axis=1))[code])
+        code = code[kept]
+        once = np.zeros(len(kept), bool)  # equal lines of a chunk send their text and keys once
+        once[np.unique(code, return_index=True)[1]] = True
+        sent = code[once]
+        names = np.zeros(len(distinct), np.int64)
+        names[sent] = [_name(distinct[k]) for k in sent.tolist()]
+        at = np.concatenate(([0], np.cumsum(np.where(once, np.count_nonzero(often, axis=1)[code], 0)))).astype(np.int32)
         return pa.table(
-            [table.column("row_id").take(pa.array([r for r, *_ in kept], pa.int64())), pa.array([n for _, n, _ in kept], pa.int32()), pa.array([_name(distinct[k]) for *_, k in kept], pa.int64())]
-            + [pa.array([distinct[k].decode() if o else None for o, (*_, k) in zip(once, kept, strict=True)], pa.string()), pa.array([keys[k][often[k]].astype(np.int64) if o else None for o, (*_, k) in zip(once, kept, strict=True)], pa.list_(pa.int64()))],
+            [table.column("row_id").take(pa.array(np.array(rows, np.int64)[kept])), pa.array(np.array(numbers, np.int32)[kept]), pa.array(names[code])]
+            + [pa.array([distinct[k].decode() if o else None for o, k in zip(once.tolist(), code.tolist(), strict=True)], pa.string()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[sent][often[sent]].astype(np.int64)), mask=pa.array(~once))],
             names=["row_id", "number", "node", "line", "keys"],
         )
 
@@ -189,12 +234,46 @@ def _shapes(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_shingles(x) for x in batch.column("line").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in found], pa.int64()), batch.column("line"), pa.array([parities(x) for x in found], pa.binary())], names=["class", "n_shingles", "line", "parities"])
+            found = [shapes(part) for part in _portions(batch.column("line").cast(pa.binary()).to_pylist())]
+            if found:
+                counts, bits = [x for c, _ in found for x in c.tolist()], [x for _, b in found for x in b]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(counts, pa.int64()), batch.column("line"), pa.array(bits, pa.binary())], names=["class", "n_shingles", "line", "parities"])
 
     return lines.select("node", "line").mapInArrow(run, "class long, n_shingles long, line string, parities binary")
 
 
+def shapes(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, list[bytes]]:
+    """How many distinct shingles normal, non-empty lines have, and what parities() says of line_shingles() of each."""
+    runs = _Runs(lines, size)
+    n = len(runs.code)
+    wide = np.concatenate([runs.code, np.zeros(size, np.uint32)]).astype(np.uint64)
+    value = np.full(n, size, np.uint64)
+    for k in range(size):
+        value = mix(value * _FACTOR[k] + wide[k : n + k])
+    for i in runs.short.tolist():
+        value[runs.start[i]] = line_shingles(lines[i].decode(), size)[0]
+    value, at = _distinct_each(value[runs.inside], runs.counts)
+    counts = np.diff(at)
+    places = np.array([parity_places(c) for c in counts.tolist()], np.int64)
+    value = mix(value) & np.repeat(places - 1, counts).astype(np.uint64)
+    begin = np.concatenate(([0], np.cumsum(places)))  # all are multiples of eight
+    hits = np.bincount(value.astype(np.int64) + np.repeat(begin[:-1], counts), minlength=begin[-1])
+    bits = np.packbits((hits & 1).astype(np.uint8), bitorder="little").tobytes()
+    begin //= 8
+    return counts, [bits[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def _distinct_each(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each line in order, and where each line's begin. counts: values of each, one at least."""
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[at[:-1]] = True
+    return values[new], np.concatenate(([0], np.cumsum(new)))[at]
+
+
 def line_shingles(line: str, size: int = SHINGLE) -> np.ndarray:
     """Hashes of a normal line's distinct shingles."""
     code = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -205,13 +284,67 @@ def line_shingles(line: str, size: int = SHINGLE) -> np.ndarray:
     return distinct_values(value)
 
 
+#: Bits that number a character, five of which and the length of a run make a number of 64 bits.
+_CHARACTER = 12
+
+
+def run_numbers(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray] | None:
+    """The shingles of each of some lines as numbers, equal exactly if they are, and where each line's begin.
+
+    None if the lines have too many characters of their own for that.
+    """
+    if not lines or size * _CHARACTER > 60:
+        return None
+    runs = _Runs(lines, size)
+    code = runs.code.astype(np.uint64)
+    if runs.code.max() >> _CHARACTER:
+        every, code = np.unique(runs.code, return_inverse=True)
+        if len(every) >> _CHARACTER:
+            return None
+        code = code.astype(np.uint64)
+    n = len(code)
+    wide = np.concatenate([code, np.zeros(size, np.uint64)])
+    value = np.full(n, size << 60, np.uint64)
+    for k in range(size):
+        value |= wide[k : n + k] << np.uint64(_CHARACTER * k)
+    for i in runs.short.tolist():
+        here = code[runs.start[i] : runs.start[i] + runs.length[i]].tolist()
+        value[runs.start[i]] = len(here) << 60 | sum(c << _CHARACTER * k for k, c in enumerate(here))
+    return _distinct_each(value[runs.inside], runs.counts)
+
+
+def similar_pairs(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+    """similar() of each x and y, normal lines, in portions of bounded size."""
+    out, i = np.zeros(len(x), bool), 0
+    while i < len(x):
+        place: dict[bytes, int] = {}
+        pairs, total, first = [], 0, i
+        while i < len(x) and total <= SLICE_BYTES:
+            total += sum(len(line) for line in {x[i], y[i]} - place.keys())
+            pairs.append((place.setdefault(x[i], len(place)), place.setdefault(y[i], len(place))))
+            i += 1
+        numbers = run_numbers(list(place))
+        if numbers is None:
+            out[first:i] = [similar(a.decode(), b.decode(), percent) for a, b in zip(x[first:i], y[first:i], strict=True)]
+            continue
+        value, at = numbers[0], numbers[1].tolist()
+        for k, (p, q) in enumerate(pairs, first):
+            both = np.concatenate((value[at[p] : at[p + 1]], value[at[q] : at[q + 1]]))
+            both.sort()
+            common = np.count_nonzero(both[1:] == both[:-1])
+            out[k] = 100 * common >= percent * (len(both) - common)
+    return out
+
+
 def _verified(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b of lines that are similar; those that the exact bound of their parities rules out aren't compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m, p, q, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "p", "q", "x", "y"))
-            good = [may_link(n[i], np.frombuffer(p[i], np.uint64), m[i], np.frombuffer(q[i], np.uint64), percent) and similar(x[i], y[i], percent) for i in range(len(n))]
+            n, m, p, q = (batch.column(c).to_pylist() for c in ("n", "m", "p", "q"))
+            may = np.array([may_link(n[i], np.frombuffer(p[i], np.uint64), m[i], np.frombuffer(q[i], np.uint64), percent) for i in range(len(n))], bool)
+            batch = batch.filter(pa.array(may))
+            good = similar_pairs(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("x", "y")), percent)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one = shapes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n"), F.col("parities").alias("p"), F.col("line").alias("x"))
@@ -220,6 +353,36 @@ def _verified(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
+def _meetings(found: DataFrame, shards: int) -> DataFrame:
+    """Keys of lines, gathered by shards of the keys: of each key that lines share, their pairs with its smallest, as
+    gathered_pairs() takes them. found: node, keys, of some rows null."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            names = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[order], np.arange(shards + 1))
+            rows = [k for k in range(shards) if cut[k + 1] > cut[k]]
+            parts = [order[cut[k] : cut[k + 1]] for k in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([names[at].tobytes() for at in parts], pa.binary()), pa.array([keys[at].tobytes() for at in parts], pa.binary())], names=["shard", "names", "keys"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
+        names = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("names")])
+        order = np.argsort(keys)
+        keys, names = keys[order], names[order]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        least = np.repeat(np.minimum.reduceat(names, new), np.diff(np.append(new, len(keys))))
+        pairs = distinct_pairs(np.column_stack([least, names])[least != names])
+        return pa.table([pa.array([0], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["kind", "body"])
+
+    sent = found.filter("size(keys) > 0").select("node", "keys").mapInArrow(send, "shard int, names binary, keys binary")
+    return sent.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, "kind int, body binary")
+
+
 def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
     """Components of lines, by verified links of those that share a key. found: node, line, keys, of some rows null.
 
@@ -227,9 +390,8 @@ def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
     The lines that share keys with one smallest line and are in different components after that are walked as operator 1 walks
     its bundles, until every pair that the exact bound allows has been compared or joined by others.
     """
-    keyed = written(found.filter("keys is not null").select("node", F.explode("keys").alias("key")).distinct(), "keyed", 8 * lines)
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    pairs = written(keyed.join(least, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs", 2 * lines)
+    shards = max(1, lines // SHARD_LINES)
+    pairs = written(gathered_pairs(written(_meetings(found, shards), "meetings"), shards), "pairs", 2 * lines)
     active = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     shapes = written(_shapes(found.filter("line is not null").select("node", "line").join(active, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))), "shapes", 8 * lines)
     edges = written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shapes, percent), "edges", lines)
@@ -238,9 +400,13 @@ def _groups(found: DataFrame, percent: int, lines: int) -> DataFrame:
     met = written(bundles(pairs, groups), "bundles", 2 * lines)
     nodes = written(members(met, shapes, groups), "members", 8 * lines)
     first, last = 0, 1
-    while not met.isEmpty():
-        left = written(cross_pairs(met, nodes, groups, percent, first, last), "pairs", lines)
-        groups = joined(groups, written(_verified(apart(left.filter("a is not null"), groups), shapes, percent), "edges", lines), lines)
+    while rows := met.count():
+        left = written(cross_pairs(met, nodes, groups, percent, first, last, 1 + rows // BUNDLE_ROWS), "pairs", lines)
+        # few pairs, for which few of the shapes are dealt out
+        few = written(apart(left.filter("a is not null"), groups), "pairs", lines)
+        ends = few.select(F.col("a").alias("class")).union(few.select("b")).distinct()
+        needed = written(shapes.join(ends, "class", "left_semi"), "shapes", lines)
+        groups = joined(groups, written(_verified(few, needed, percent), "edges", lines), lines)
         met = written(met.join(left.filter("a is null").select(F.col("b").alias("meeting")), "meeting", "left_semi"), "bundles", 2 * lines)
         first, last = last, 8 * last
     return groups

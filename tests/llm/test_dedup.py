@@ -328,6 +328,76 @@ def test_lines_unlike_the_smallest_of_their_keys(spark, monkeypatch):
     assert len(found) == len(lines) and sum(not r["stays"] for r in found) == 16
 
 
+LINES = st.lists(st.text(alphabet="abcA \t\u0000é日\u9fa5🦊", max_size=14), min_size=1, max_size=8)
+
+
+@settings(max_examples=100, deadline=None)
+@given(LINES)
+def test_portions_of_lines_are_as_each_line_by_itself(found):
+    text = "\n".join(found).encode()
+    assert line_dedup._normal_lines(text) == [line_dedup._normal(x) for x in text.split(b"\n")]
+    lines = [x for x in line_dedup._normal_lines(text) if x]
+    if not lines:
+        return
+    counts, bits = line_dedup.shapes(lines)
+    each = [line_dedup.line_shingles(x.decode()) for x in lines]
+    assert counts.tolist() == [len(x) for x in each] and bits == [jaccard_join.parities(x) for x in each]
+    pairs = [(a, b) for a in lines for b in lines]
+    for percent in (30, 80, 100):
+        got = line_dedup.similar_pairs([a for a, _ in pairs], [b for _, b in pairs], percent)
+        assert got.tolist() == [line_dedup.similar(a.decode(), b.decode(), percent) for a, b in pairs]
+
+
+def test_pairs_with_more_characters_than_can_be_numbered():
+    rng = np.random.default_rng(6)
+    lines = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 400))) for _ in range(40)]
+    others = [x[:k] + "z" + x[k + 1 :] if k % 2 else x[:200] for k, x in enumerate(lines)]
+    assert line_dedup.run_numbers([x.encode() for x in lines]) is None
+    got = line_dedup.similar_pairs([x.encode() for x in lines], [x.encode() for x in others], 80)
+    assert got.tolist() == [k % 2 == 1 for k in range(40)]
+
+
+def test_parts_without_a_value_ask_in_their_order():
+    rng = np.random.default_rng(7)
+    table = rng.integers(0, 1 << 20, (line_dedup.BINS, 60), dtype=np.uint32)
+    for k in range(60):  # lines of one value to all
+        table[rng.permutation(line_dedup.BINS)[1 + 2 * k :], k] = line_dedup._NONE
+    got = line_dedup._lent(table)
+    for part in range(line_dedup.BINS):
+        for k in range(60):
+            asked = [table[q, k] for q in [part, *line_dedup._ASKED[:, part]]]
+            assert got[part, k] == next(x for x in asked if x != line_dedup._NONE)
+
+
+def test_no_row_for_each_key_of_a_line(spark, small, monkeypatch):
+    """Keys meet in packed rows; a row for each took a seventh of the operator's time."""
+    plans, put = {}, line_dedup.written
+
+    def watched(df, name, *rest):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name, *rest)
+
+    monkeypatch.setattr(line_dedup, "written", watched)
+    assert line_dedup.repeated_lines(small, chunk_bytes=50_000).count() > 0
+    assert "pairs" in plans and not [name for name, found in plans.items() if any("Generate" in x for x in found)]
+
+
+def test_small_bundles_are_handed_over_together(spark):
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 1 << 62, 40, dtype=np.uint64) for _ in range(12)]
+    sets = [np.sort(np.concatenate([base[:39], rng.integers(0, 1 << 62, 1, dtype=np.uint64)])) for base in sets for _ in range(4)]
+    classes = spark.createDataFrame([(i, len(s), bytearray(jaccard_join.parities(s))) for i, s in enumerate(sets)], "class long, n_shingles long, parities binary")
+    met = spark.createDataFrame([(i - i % k, i) for k in (4, 12) for i in range(48)], "meeting long, node long").distinct()
+    groups = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    nodes = jaccard_join.members(met, classes, groups)
+    for first, last in ((0, 1), (1, 8)):
+        alone = jaccard_join.cross_pairs(met, nodes, groups, 75, first, last).collect()
+        assert len(alone) > 12
+        for parts in (1, 3):
+            together = jaccard_join.cross_pairs(met, nodes, groups, 75, first, last, parts)
+            assert sorted(together.collect(), key=str) == sorted(alone, key=str)
+
+
 def test_bands_find_similar_lines():
     rng = np.random.default_rng(4)
     found = total = 0
