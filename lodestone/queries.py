@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone import config as C
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
-from lodestone.operators import cache, context, evaluate, lexical, paged, ranking, rerank, section, segment, similarity, snapshot, windows
+from lodestone.operators import cache, context, evaluate, lexical, paged, ranking, rerank, section, segment, similarity, snapshot, stretches, windows
 from lodestone.plans import surrogate as S
 from lodestone.plans.cut import cut
 from lodestone.plans.oracles import oracle_sql
@@ -351,9 +351,7 @@ def rerank_pairs(spark, sf_dir):
 
 @query
 def context_runs(spark, sf_dir):
-    blocks = paged.in_blocks(paged.with_percents(S.met(spark, sf_dir)), around=True)
-    chosen = paged.finalize(paged.results_before_lexical(blocks), S.queries(spark, sf_dir)).filter(~F.col("is_paragraph"))
-    return chosen.select("query_id", "snapshot_id", F.col("passage_id").alias("selected"), F.explode("near").alias("passage_id"))
+    return stretches.neighbours(S.stretches(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- caches, versions
