@@ -48,13 +48,13 @@ def _highest(products: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _search(products: np.ndarray, high: np.ndarray, plain: Callable, block: np.ndarray, first: np.ndarray, free: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, first and last place of each stretch. Without a boost a relevant score is needed; a boost needs a score, and a
+    """Query, first and last place of each stretch. high: the product of a strong section, else -inf. Without a boost a relevant score is needed; a boost needs a score, and a
     relevant paragraph or a strong section."""
     s, least = plain(products), C.MIN_MATCH_PERCENT / 100 - SLACK
     order = np.argsort(block, kind="stable")
     counts = np.bincount(block)
     par = (np.add.reduceat(s[:, order], np.cumsum(counts) - counts, axis=1) / counts)[:, block]
-    boosted = body & (s >= C.MINIMUM_SECTION_EVIDENCE - SLACK) & ((par >= least) | (plain(high) >= C.STRONG_SECTION - SLACK))
+    boosted = body & (s >= C.MINIMUM_SECTION_EVIDENCE - SLACK) & ((par >= least) | (high > -np.inf))
     good = free & ((s >= least) | boosted)
     pair = good[:, :-1] & good[:, 1:] & (first[:-1] == first[1:])
     edge = np.pad(pair, ((0, 0), (1, 1)))
@@ -84,6 +84,7 @@ def _searched(plain: Callable) -> Callable[..., Column]:
             block, first, free, body = (p.field(c).to_numpy(zero_copy_only=False) for c in ("block", "first", "free", "body"))
             heads = p.field("heads")
             high = _highest(products, heads.flatten().to_numpy(zero_copy_only=False).astype(float), heads.value_lengths().to_numpy(zero_copy_only=False))
+            high[plain(high) < C.STRONG_SECTION - SLACK] = -np.inf  # a weak section changes nothing
             q, lo, hi = _search(products, high, plain, block, first, free, body)
             # the blocks of each stretch, and the places of each of them
             owner, step = _steps(hi - lo + 1)
@@ -104,7 +105,8 @@ def _searched(plain: Callable) -> Callable[..., Column]:
 
 def stretches(queries: DataFrame, passages: DataFrame, score: Callable[[Column], Column], plain: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """The rows of paged.in_blocks(paged.with_percents(paged.meet()), around=True) that have a member with something near, with
-    the columns that neighbours() takes. A block that several stretches touch has a row for each.
+    the columns that neighbours() takes. A block that several stretches touch has a row for each; section_similarity is 0 for a
+    weak section too.
 
     score never falls as the product grows; plain is score over arrays, but for the rounding.
     """
